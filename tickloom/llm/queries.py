@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, langid, lines, mixing, pii, rules
+from tickloom.llm import bpe, chat, langid, lines, mixing, neardup_vectors, pii, rules
 from tickloom.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -53,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op5_lines": op5_lines, "op2_pii": op2_pii, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
+    return {"op1_mixing": op1_mixing, "op5_lines": op5_lines, "op2_pii": op2_pii, "op6_vectors": op6_vectors, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
