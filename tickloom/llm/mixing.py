@@ -65,7 +65,7 @@ def distribution(rate: Column) -> Column:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float | None = None, seed: int = 17, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The mix: every document `copies` times, in random order, with copy (from 1) and slot (its place's hash)."""
-    table = cut(rates(docs, weights, temperature, total, source, text).withColumn("_cdf", distribution(F.col("rate"))))
+    table = cut(rates(docs, weights, temperature, total, source, text).select("_source", distribution(F.col("rate")).alias("_cdf")))
     if table.count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(table), docs[source].eqNullSafe(table["_source"]))
     else:
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         joined = docs.join(salted, docs[source].eqNullSafe(salted["_source"]) & (F.col("_part") == F.col("_salt"))).drop("_part", "_salt")
     u = uniform(seed, key)
     copies = F.size(F.filter("_cdf", lambda c: c <= u))
-    counted = joined.withColumn("_copies", copies).where("_copies > 0").drop("_cdf", "_source", "rate")
+    counted = joined.withColumn("_copies", copies).where("_copies > 0").drop("_cdf", "_source")
     rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
     return rows.withColumn("slot", uniform(seed + 1, key, "copy")).repartition("slot").sortWithinPartitions("slot", "copy")
 

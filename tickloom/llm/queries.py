@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, langid, lines, mixing, neardup_vectors, pii, rules
+from tickloom.llm import bpe, chat, jaccard, kneser_ney, langid, lines, mixing, neardup_vectors, pii, rules
 from tickloom.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,21 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kneser_ney.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    own_id = F.when(F.col("_doc") != kneser_ney.LEAST, F.col("_doc")).alias("doc_id")
+    return found.select(own_id, F.col("_lang").alias("lang"), "n_chars", "perplexity", "threshold", "kept")
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -57,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op5_lines": op5_lines, "op2_pii": op2_pii, "op6_vectors": op6_vectors, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
+    return {"op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_lines": op5_lines, "op2_pii": op2_pii, "op6_vectors": op6_vectors, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
