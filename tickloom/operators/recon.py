@@ -144,7 +144,8 @@ def segments(bounds: DataFrame, by: list[str], width_ms: int) -> DataFrame:
     """by, segment, seg_start, seg_end from (by, first_ts, last_ts): consecutive, half-open, the last one cut short."""
     n = F.floor((F.col("last_ts") - F.col("first_ts")) / width_ms).cast("int")
     out = bounds.withColumn("segment", F.explode(F.sequence(F.lit(0), n)))
-    return out.select(*by, "segment", (F.col("first_ts") + F.col("segment") * width_ms).alias("seg_start"), F.least(F.col("first_ts") + (F.col("segment") + 1) * width_ms, F.col("last_ts") + 1).alias("seg_end"))
+    width = F.lit(width_ms).cast("long")
+    return out.select(*by, "segment", (F.col("first_ts") + F.col("segment") * width).alias("seg_start"), F.least(F.col("first_ts") + (F.col("segment") + 1) * width, F.col("last_ts") + 1).alias("seg_end"))
 
 
 def feed_segments(tape: DataFrame, bounds: DataFrame, by: list[str], width_ms: int, warmup_ms: int) -> DataFrame:

@@ -29,8 +29,8 @@ def count(flag: Column, by: list[str], width_ms: int, closed: bool = True) -> Co
 
 
 def trade_imbalance(buy: Column, sell: Column, flag: Column, by: list[str], width_ms: int) -> Column:
-    """(buys - sells) / (buys + sells) over the closed window, 0 without trades."""
-    b, s = trailing(buy, by, width_ms), trailing(sell, by, width_ms)
+    """(buys - sells) / (buys + sells) over the closed window, 0 without trades; sums to 9 digits, against noise."""
+    b, s = F.round(trailing(buy, by, width_ms), 9), F.round(trailing(sell, by, width_ms), 9)
     return F.when(count(flag, by, width_ms) > 0, (b - s) / (b + s)).otherwise(F.lit(0.0))
 
 
