@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NONE = F.lit(None)
-
 
 def mid(bid: Column, ask: Column) -> Column:
     return (bid + ask) / 2.0

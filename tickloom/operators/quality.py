@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Streams of a tape for gap detection; injected snapshots belong to neither.
-STREAM = F.when(F.col("side").isin(0, 1), "depth").when(F.col("side") == 2, "trade")
 MINUTE, DAY = 60_000, 86_400_000
 
 
+def stream() -> Column:
+    """The stream of a row for gap detection; injected snapshots belong to neither."""
+    return F.when(F.col("side").isin(0, 1), "depth").when(F.col("side") == 2, "trade")
+
+
 def gaps(tape: DataFrame, by: list[str], threshold_sec: float) -> DataFrame:
     """by, stream, start_ms, end_ms, gap_sec: silences strictly longer than the threshold inside a stream."""
-    rows = tape.withColumn("stream", STREAM).where("stream IS NOT NULL")
+    rows = tape.withColumn("stream", stream()).where("stream IS NOT NULL")
     before = F.lag("timestamp").over(W.partitionBy(*by, "stream").orderBy("timestamp"))
     out = rows.select(*by, "stream", before.alias("start_ms"), F.col("timestamp").alias("end_ms"))
     return out.where(F.col("end_ms") - F.col("start_ms") > threshold_sec * 1000).withColumn("gap_sec", F.round((F.col("end_ms") - F.col("start_ms")) / 1000.0, 3))
@@ -21,7 +24,7 @@ def gaps(tape: DataFrame, by: list[str], threshold_sec: float) -> DataFrame:
 
 def gap_stats(tape: DataFrame, by: list[str], threshold_sec: float) -> DataFrame:
     """Per stream: events, gaps, longest and total gap, span, coverage (100 with fewer than two events)."""
-    rows = tape.withColumn("stream", STREAM).where("stream IS NOT NULL")
+    rows = tape.withColumn("stream", stream()).where("stream IS NOT NULL")
     step = F.col("timestamp") - F.lag("timestamp").over(W.partitionBy(*by, "stream").orderBy("timestamp"))
     gap = F.when(F.col("_step") > threshold_sec * 1000, F.round(F.col("_step") / 1000.0, 3))
     per = rows.withColumn("_step", step).groupBy(*by, "stream").agg(

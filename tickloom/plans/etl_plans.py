@@ -114,7 +114,7 @@ def union_tapes(spark, sf_dir):
 
 
 def human_sizes(spark, sf_dir):
-    s = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 4096 * 7).alias("bytes"))
+    s = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 4099 * 7).alias("bytes"))
     return s.select("o_orderkey", S.human_size(F.col("bytes")).alias("size"))
 
 
@@ -136,5 +136,5 @@ ALL = {
     "symbol_normalise": (symbol_normalise, "SELECT * FROM (VALUES ('btcusdt', 'BTC_USDT', 'btcusdt', 'btc_usdt'), ('BTC-JPY', 'BTC_JPY', 'btcjpy', 'btc_jpy'), ('eth_jpy', 'ETH_JPY', 'ethjpy', 'eth_jpy'), ('XRPBTC', 'XRP_BTC', 'xrpbtc', 'xrp_btc'), ('SOLUSDC', 'SOL_USDC', 'solusdc', 'sol_usdc')) AS t(native, std, binance, bitbank)"),
     "trade_label": (trade_label, f"WITH {T} SELECT arrival, quantity < 0 AS is_buyer_maker, CASE WHEN quantity < 0 THEN 'SELL' ELSE 'BUY' END AS label, abs(quantity) AS size FROM tape WHERE side = 2"),
     "union_tapes": (union_tapes, f"WITH {T} SELECT venue, count(*) AS n FROM tape WHERE side IN (0, 1, 2) GROUP BY venue"),
-    "human_sizes": (human_sizes, f"SELECT o_orderkey, {SIZE_SQL} AS size FROM (SELECT o_orderkey, o_orderkey * 4096 * 7 AS b FROM orders)"),
+    "human_sizes": (human_sizes, f"SELECT o_orderkey, {SIZE_SQL} AS size FROM (SELECT o_orderkey, o_orderkey * 4099 * 7 AS b FROM orders)"),
 }
