@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,8 @@ MARKS = ("<|turn|>", "<|text|>", "<|over|>")
 CONTROL = (*MARKS, "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>", "<|user|>", "<|assistant|>", "<|system|>", "<<SYS>>", "<</SYS>>", "[/INST]", "[INST]", "</s>", "<s>", "<unk>", "<pad>")
 #: The escape sign: in a text it becomes E0; E1 goes behind the first character of a control string.
 E = "␛"
+#: Rows, and characters, that are encoded or decoded at once: the tokenizer's own objects are many times the text.
+ROWS, CHARS = 256, 500_000
 _ESCAPE = re.compile("|".join([E, *map(re.escape, sorted(CONTROL, key=len, reverse=True))]))
 _UNESCAPE = re.compile(f"{E}([01])")
 
@@ -52,53 +55,71 @@ def coder(path: str):
     return t, {m: t.get_vocab_size() + i for i, m in enumerate(MARKS)}
 
 
+def slices(sizes: list[int]) -> Iterator[slice]:
+    """Runs of rows with at most ROWS rows and about CHARS characters."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= ROWS or total + n > CHARS):
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def encode_rows(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Per row of a conversation: its ids with the marks spliced in, and where its text starts and ends in them.
 
-    conv_id, turn, role, text (as sorting keys), ids array<int>, text_from int, text_to int, in_loss boolean.
+    conv_id, turn, role, _tie (sorting keys; the text itself stays behind), ids array<int>, text_from int, text_to int,
+    in_loss boolean.
     """
 
     def run(batches):
         tok, mark = coder(path)
         for pdf in batches:
-            roles = [x if isinstance(x, str) else "" for x in pdf["role"]]
-            texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            parts = [e.ids for e in tok.encode_batch([escape(x) for x in (*roles, *texts)], add_special_tokens=False)]
-            out = pdf[["conv_id", "turn"]].copy()
-            out["role"], out["text"] = roles, texts
-            head = [[mark[MARKS[0]], *r, mark[MARKS[1]]] for r in parts[: len(roles)]]
-            out["ids"] = [[*h, *t, mark[MARKS[2]]] for h, t in zip(head, parts[len(roles) :], strict=True)]
-            out["text_from"] = [len(h) for h in head]
-            out["text_to"] = out["text_from"] + [len(t) for t in parts[len(roles) :]]
-            out["in_loss"] = [r in loss_roles for r in roles]
-            yield out
+            for part in slices([len(x) if isinstance(x, str) else 0 for x in pdf["text"]]):
+                out = pdf.iloc[part][["conv_id", "turn", "_tie"]].copy()
+                roles, texts = ([x if isinstance(x, str) else "" for x in pdf[c].iloc[part]] for c in ("role", "text"))
+                ids = [np.array(e.ids, np.int32) for e in tok.encode_batch([escape(x) for x in (*roles, *texts)], add_special_tokens=False)]
+                head = [np.r_[mark[MARKS[0]], r, mark[MARKS[1]]].astype(np.int32) for r in ids[: len(roles)]]
+                body = ids[len(roles) :]
+                out["role"] = roles
+                out["ids"] = [np.r_[h, t, mark[MARKS[2]]].astype(np.int32) for h, t in zip(head, body, strict=True)]
+                out["text_from"] = [len(h) for h in head]
+                out["text_to"] = out["text_from"] + [len(t) for t in body]
+                out["in_loss"] = [r in loss_roles for r in roles]
+                yield out
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    return rows.select("conv_id", "turn", "role", "text").mapInPandas(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids array<int>, text_from int, text_to int, in_loss boolean")
+    return rows.select("conv_id", "turn", "role", "text", F.sha2("text", 256).alias("_tie")).mapInPandas(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, _tie string, ids array<int>, text_from int, text_to int, in_loss boolean")
 
 
 def in_order(encoded: DataFrame) -> DataFrame:
-    """The turns of a conversation in one partition, in order; the texts themselves stay behind."""
-    return encoded.withColumn("_tie", F.sha2("text", 256)).drop("text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "_tie").drop("_tie")
+    """The turns of a conversation in one partition, in order."""
+    return encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "_tie")
+
+
+CHUNKS = "seq long, start long, ids array<int>, mask array<boolean>"
+
+
+def assembled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ordered rows as chunks with their offsets and masks; only the running offset is kept between rows."""
+    now, seq, start = None, 0, 0
+    for pdf in batches:
+        out = []
+        for conv, ids, a, b, loss in zip(pdf["conv_id"].astype(object), pdf["ids"], pdf["text_from"], pdf["text_to"], pdf["in_loss"], strict=True):
+            conv = None if pd.isna(conv) else conv
+            if (conv,) != now:
+                now, seq, start = (conv,), 0, 0
+            out.append((conv, seq, start, ids, mask_of(len(ids), [(a, b)] if loss else [])))
+            seq, start = seq + 1, start + len(ids)
+        yield pd.DataFrame(out, columns=["conv_id", "seq", "start", "ids", "mask"])
 
 
 def assemble(encoded: DataFrame) -> DataFrame:
     """The formatted conversations as chunks, one for each turn: conv_id, seq, start (the offset of its first token in
     the conversation, a prefix sum), ids and the loss mask over ids."""
-
-    def run(batches):
-        now, seq, start = None, 0, 0
-        for pdf in batches:
-            out = []
-            for conv, ids, a, b, loss in zip(pdf["conv_id"].astype(object), pdf["ids"], pdf["text_from"], pdf["text_to"], pdf["in_loss"], strict=True):
-                conv = None if pd.isna(conv) else conv
-                if (conv,) != now:
-                    now, seq, start = (conv,), 0, 0
-                out.append((conv, seq, start, ids, mask_of(len(ids), [(a, b)] if loss else [])))
-                seq, start = seq + 1, start + len(ids)
-            yield pd.DataFrame(out, columns=["conv_id", "seq", "start", "ids", "mask"])
-
-    return in_order(encoded).mapInPandas(run, f"conv_id {encoded.schema['conv_id'].dataType.simpleString()}, seq long, start long, ids array<int>, mask array<boolean>")
+    return in_order(encoded).mapInPandas(assembled, f"conv_id {encoded.schema['conv_id'].dataType.simpleString()}, {CHUNKS}")
 
 
 def mask_of(size: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -110,14 +131,11 @@ def mask_of(size: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def read_back(chunks: DataFrame, path: str) -> DataFrame:
-    """What the formatted conversations say, read from ids and masks alone; one row per conversation.
+READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
 
-    conv_id, n_turns, turns_sha256 (role, newline, text, newline for each turn), loss_chars and loss_sha256 (the text
-    under the mask), formatted_chars (code points of the rendered conversation, marks included), n_tokens.
-    Takes the output of `assemble` as it comes: chunks of a conversation follow each other in one partition.
-    """
-    kind = chunks.schema["conv_id"].dataType.simpleString()
+
+def reader(path: str):
+    """What formatted conversations say, read from ids and masks alone, as a function of batches of chunks."""
 
     def run(batches):
         tok, mark = coder(path)
@@ -131,27 +149,28 @@ def read_back(chunks: DataFrame, path: str) -> DataFrame:
             if state is not None:
                 done.append((now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
 
+        marks = sum(len(text_of[x]) for x in (first, mid, last))
         for pdf in batches:
-            ids = [np.asarray(x) for x in pdf["ids"]]
-            masks = [np.asarray(x, bool) for x in pdf["mask"]]
-            assert all(x[0] == first and x[-1] == last for x in ids)
-            cut = [int(np.flatnonzero(x == mid)[0]) for x in ids]
-            roles = decode([x[1:c].tolist() for x, c in zip(ids, cut, strict=True)])
-            texts = decode([x[c + 1 : -1].tolist() for x, c in zip(ids, cut, strict=True)])
-            losses = decode([x[m].tolist() for x, m in zip(ids, masks, strict=True)])
-            marks = sum(len(text_of[x]) for x in (first, mid, last))
-            for conv, x, role, text, loss in zip(pdf["conv_id"].astype(object), ids, roles, texts, losses, strict=True):
-                conv = None if pd.isna(conv) else conv
-                if (conv,) != now:
-                    close()
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                state[0] += 1
-                state[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                plain = unescape(loss)
-                state[2] += len(plain)
-                state[3].update(plain.encode())
-                state[4] += marks + len(role) + len(text)
-                state[5] += len(x)
+            for part in slices([4 * len(x) for x in pdf["ids"]]):
+                ids = [np.asarray(x) for x in pdf["ids"].iloc[part]]
+                masks = [np.asarray(x, bool) for x in pdf["mask"].iloc[part]]
+                assert all(x[0] == first and x[-1] == last for x in ids)
+                cut = [int(np.flatnonzero(x == mid)[0]) for x in ids]
+                roles = decode([x[1:c].tolist() for x, c in zip(ids, cut, strict=True)])
+                texts = decode([x[c + 1 : -1].tolist() for x, c in zip(ids, cut, strict=True)])
+                losses = decode([x[m].tolist() for x, m in zip(ids, masks, strict=True)])
+                for conv, x, role, text, loss in zip(pdf["conv_id"].iloc[part].astype(object), ids, roles, texts, losses, strict=True):
+                    conv = None if pd.isna(conv) else conv
+                    if (conv,) != now:
+                        close()
+                        now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    state[0] += 1
+                    state[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                    plain = unescape(loss)
+                    state[2] += len(plain)
+                    state[3].update(plain.encode())
+                    state[4] += marks + len(role) + len(text)
+                    state[5] += len(x)
             yield frame(done)
             done.clear()
         close()
@@ -161,4 +180,17 @@ def read_back(chunks: DataFrame, path: str) -> DataFrame:
         out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"])
         return out.astype({"conv_id": "object"}) if len(out) == 0 else out
 
-    return chunks.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return run
+
+
+def read_back(chunks: DataFrame, path: str) -> DataFrame:
+    """One row per conversation: conv_id, n_turns, turns_sha256 (role, newline, text, newline for each turn),
+    loss_chars and loss_sha256 (the text under the mask), formatted_chars (code points of the rendered conversation,
+    marks included), n_tokens. Takes the output of `assemble` as it comes, chunks of a conversation together."""
+    return chunks.mapInPandas(reader(path), f"conv_id {chunks.schema['conv_id'].dataType.simpleString()}, {READ}")
+
+
+def format_and_read(encoded: DataFrame, path: str) -> DataFrame:
+    """`read_back` of `assemble`, in one Python stage: chunks are read as soon as they are made."""
+    read = reader(path)
+    return in_order(encoded).mapInPandas(lambda batches: read(assembled(batches)), f"conv_id {encoded.schema['conv_id'].dataType.simpleString()}, {READ}")

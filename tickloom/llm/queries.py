@@ -63,8 +63,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    formatted = chat.assemble(chat.encode_rows(rows.unionByName(probe), BYTE_BPE))
-    return chat.read_back(formatted, BYTE_BPE)
+    return chat.format_and_read(chat.encode_rows(rows.unionByName(probe), BYTE_BPE), BYTE_BPE)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
