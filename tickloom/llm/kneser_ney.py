@@ -171,7 +171,7 @@ def log_sums(texts: list[str], codes: np.ndarray, logs: np.ndarray) -> np.ndarra
     for a, b in slices(texts):
         for code, size in pieces(texts[a:b]):
             some, at = np.unique(code, return_inverse=True)
-            total = np.r_[0.0, np.cumsum(logs[np.searchsorted(codes, some)][at])]
+            total = np.r_[0.0, np.cumsum(logs[np.searchsorted(codes, some)][at], dtype=np.float64)]
             ends = np.cumsum(size)
             if len(size) == b - a:
                 out[a:b] += total[ends] - total[ends - size]
