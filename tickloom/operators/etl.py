@@ -211,4 +211,4 @@ ADAPTERS = {"binance": binance_rows, "coincheck": coincheck_rows, "bitbank": bit
 def timed_json(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a local time, a tab and a JSON message, as (local_time, message)."""
     parts = F.split("value", "\t", 2)
-    return spark.read.text(path).select(parts[0].alias("local_time"), parts[1].alias("message")).where("message IS NOT NULL")
+    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("local_time"), F.get(parts, F.lit(1)).alias("message")).where("message IS NOT NULL")
