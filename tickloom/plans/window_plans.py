@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
-from tickloom.operators import book
+from tickloom.operators import book, recon
 from tickloom.operators import windows as win
 from tickloom.plans.book_plans import BY, TOP1, levels_sql, tape, trades
 from tickloom.sources.driver_tables import HOUR, tape_from_events, tape_sql
@@ -63,15 +63,25 @@ def forward_return_same_ms(spark, sf_dir):
     return f.select("venue", "timestamp", "seq", F.round("fwd_bps", 6).alias("fwd_bps"))
 
 
+DAY = 24 * HOUR
+
+
+def segmented(rows):
+    """Rows of all venues on one line within day-long segments that are fed a day of warm-up before them, so that the
+    merged tape is sorted in parallel: segment, line, emits."""
+    bounds = rows.agg(F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+    fed = recon.feed_segments(rows.withColumn("one", F.lit(1)), bounds.withColumn("one", F.lit(1)), ["one"], DAY, DAY).drop("one")
+    return fed.withColumn("line", F.row_number().over(W.partitionBy("segment").orderBy(*merged(fed, F.col("venue"), ["arrival"]))).cast("long"))
+
+
 def basis_cross_venue(spark, sf_dir):
     """At every cc trade: the last mid of cc and bj seen on the merged tape, and ln of their ratio in bps."""
     t = tape(spark, sf_dir)
     top = book.top1(trades(t), book.intervals(t, BY), BY).select("venue", "timestamp", "seq", "mid")
-    keyed = top.join(t.select("venue", "seq", "arrival", "side"), ["venue", "seq"])
-    everyone = keyed.withColumn("line", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*merged(keyed, F.col("venue"), ["arrival"]))))
-    w = W.partitionBy(F.lit(0)).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    everyone = segmented(top.join(t.select("venue", "seq", "arrival", "side"), ["venue", "seq"]))
+    w = W.partitionBy("segment").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     last = lambda v: F.last(F.when(F.col("venue") == v, F.col("mid")), ignorenulls=True).over(w)
-    out = everyone.select("venue", "timestamp", "arrival", last("cc").alias("cc_mid"), last("bj").alias("bj_mid")).where("venue = 'cc'")
+    out = everyone.select("venue", "timestamp", "arrival", "emits", last("cc").alias("cc_mid"), last("bj").alias("bj_mid")).where("emits AND venue = 'cc'")
     return out.select("timestamp", "arrival", "cc_mid", "bj_mid", F.round(S.log_bps(F.col("cc_mid"), F.col("bj_mid")), 6).alias("basis_bps"))
 
 
@@ -108,16 +118,14 @@ def sorted_check(spark, sf_dir):
 def feature_vector(spark, sf_dir):
     """One wide row at each cc trade: flows, counts, returns and hour of the cc, bj and um venues on one merged tape,
     where each venue's windows end at the current event."""
-    t = tape(spark, sf_dir)
-    line = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*merged(t, F.col("venue"), ["arrival"]))).cast("long")
-    m = t.withColumn("line", line).withColumn("all", F.lit(0)).withColumn("vseq", F.col("seq")).withColumn("seq", F.col("line"))
-    by = ["all"]
+    m = segmented(tape(spark, sf_dir)).withColumn("seq", F.col("line"))
+    by = ["segment"]
     is_t = lambda v: (F.col("venue") == v) & (F.col("side") == 2)
     price = lambda v: F.when(is_t(v), F.col("price"))
     buy = lambda v: F.when(is_t(v), S.taker_buy(F.col("quantity"))).otherwise(0.0)
     sell = lambda v: F.when(is_t(v), S.taker_sell(F.col("quantity"))).otherwise(0.0)
     out = m.select(
-        "venue", "side", "timestamp", "arrival",
+        "venue", "side", "timestamp", "arrival", "emits",
         F.round(win.log_return(price("um"), by, HOUR), 9).alias("r_um"),
         F.round(win.log_return(price("bj"), by, HOUR), 9).alias("r_bj"),
         F.round(win.log_return(price("cc"), by, HOUR, HOUR), 9).alias("r_cc_lag1"),
@@ -126,7 +134,7 @@ def feature_vector(spark, sf_dir):
         F.round(win.trade_imbalance(buy("cc"), sell("cc"), is_t("cc"), by, 2 * HOUR), 6).alias("cc_imb_2"),
         (F.round(S.hour_sin(F.col("timestamp")), 9) + 0.0).alias("hour_sin"),
     )
-    return out.where("venue = 'cc' AND side = 2").drop("venue", "side")
+    return out.where("emits AND venue = 'cc' AND side = 2").drop("venue", "side", "emits")
 
 
 def grid_sequence(spark, sf_dir):
@@ -147,17 +155,18 @@ def then_sql(hours):
     return f"(SELECT arg_max(price, seq) FROM t b WHERE b.venue = a.venue AND b.timestamp <= a.timestamp - {hours * HOUR})"
 
 
-MERGED = """, m AS (SELECT *, row_number() OVER (ORDER BY timestamp, side DESC, venue, arrival) AS line FROM tape
+LO = f"(SELECT min(timestamp) FROM {{rows}}) + ((timestamp - (SELECT min(timestamp) FROM {{rows}})) // {DAY} - 1) * {DAY} AS lo"
+MERGED = f""", m AS (SELECT *, {LO.format(rows='tape')}, row_number() OVER (ORDER BY timestamp, side DESC, venue, arrival) AS line FROM tape
 ), mt AS (SELECT *, greatest(-quantity, 0.0) AS buy, greatest(quantity, 0.0) AS sell FROM m WHERE side = 2)"""
 
 
 def mret(venue, hours, lag=0):
-    then = f"(SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.timestamp <= a.timestamp - {(hours + lag) * HOUR})"
-    return f"round(ln((SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.line <= a.line) / {then}), 9)"
+    then = f"(SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.timestamp <= a.timestamp - {(hours + lag) * HOUR})"
+    return f"round(ln((SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.line <= a.line) / {then}), 9)"
 
 
 def msum(venue, expr, hours):
-    return f"(SELECT {expr} FROM mt b WHERE b.venue = '{venue}' AND b.line <= a.line AND b.timestamp >= a.timestamp - {hours * HOUR})"
+    return f"(SELECT {expr} FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.line <= a.line AND b.timestamp >= a.timestamp - {hours * HOUR})"
 
 
 FWD = "(SELECT {pick} FROM t b WHERE b.venue = a.venue AND b.seq > a.seq AND b.timestamp >= a.timestamp + {h})"
@@ -171,9 +180,9 @@ ALL = {
     "forward_return_same_ms": (forward_return_same_ms, f"WITH {tape_sql(True)}{TRADES} SELECT venue, timestamp, seq, round(ln({FWD.format(pick='arg_min(price, seq)', h=0)} / price) * 10000.0, 6) AS fwd_bps FROM t a"),
     "basis_cross_venue": (basis_cross_venue, levels_sql() + TOP1 + """, keyed AS (
   SELECT top.venue, top.timestamp, top.seq, mid, arrival, side FROM top JOIN tape USING (venue, seq)
-), lined AS (SELECT *, row_number() OVER (ORDER BY timestamp, side DESC, venue, arrival) AS line FROM keyed
-), mids AS (SELECT a.timestamp, a.arrival, (SELECT arg_max(mid, line) FROM lined b WHERE b.venue = 'cc' AND b.line <= a.line) AS cc_mid,
-  (SELECT arg_max(mid, line) FROM lined b WHERE b.venue = 'bj' AND b.line <= a.line) AS bj_mid FROM lined a WHERE a.venue = 'cc')
+), lined AS (SELECT *, """ + LO.format(rows="keyed") + """, row_number() OVER (ORDER BY timestamp, side DESC, venue, arrival) AS line FROM keyed
+), mids AS (SELECT a.timestamp, a.arrival, (SELECT arg_max(mid, line) FROM lined b WHERE b.venue = 'cc' AND b.timestamp >= a.lo AND b.line <= a.line) AS cc_mid,
+  (SELECT arg_max(mid, line) FROM lined b WHERE b.venue = 'bj' AND b.timestamp >= a.lo AND b.line <= a.line) AS bj_mid FROM lined a WHERE a.venue = 'cc')
 SELECT *, round(ln(cc_mid / bj_mid) * 10000.0, 6) AS basis_bps FROM mids"""),
     "hour_encoding": (hour_encoding, f"WITH {tape_sql()} SELECT arrival, round(sin(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0), 9) + 0.0 AS hour_sin, round(cos(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0), 9) + 0.0 AS hour_cos FROM tape"),
     "cumulative_volume": (cumulative_volume, f"WITH {tape_sql()}{TRADES} SELECT venue, seq, round(sum(buy) OVER w, 6) AS cum_buy, round(sum(sell) OVER w, 6) AS cum_sell FROM t WINDOW w AS (PARTITION BY venue ORDER BY seq)"),
