@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("book_plans", "window_plans", "quality_plans", "etl_plans", "recon_plans", "kernel_plans")
+MODULES = ("book_plans", "window_plans", "quality_plans", "etl_plans", "recon_plans", "sample_plans", "kernel_plans")
 
 
 def _all() -> dict:
