@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -63,16 +64,48 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.format_and_read(chat.encode_rows(rows.unionByName(probe), BYTE_BPE), BYTE_BPE)
+    return chat.format_and_read(chat.encode_rows(rows.unionByName(probe), BYTE_BPE), BYTE_BPE).drop("n_tokens")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+#: Connected components of `links` (a, b both ways) over `nodes` (id), as `comps` (id, component_id).
+COMPONENTS = """, reach AS (
+  SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+), comps AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+JACCARD_SQL = f"""WITH RECURSIVE words AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents
+), nodes AS (SELECT id FROM words), shingles AS (
+  SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id), common AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b WHERE 100 * c >= 75 * (p.n + q.n - c)
+){COMPONENTS}
+SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM comps LEFT JOIN sizes USING (id)"""
+VECTORS_SQL = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), links AS (
+  SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+){COMPONENTS}
+SELECT id AS vec_id, CAST(count(l.b) AS BIGINT) AS n_links, component_id, id = component_id AS kept FROM comps LEFT JOIN links l ON l.a = id GROUP BY id, component_id"""
+ANY_CONTROL = "|".join(re.escape(c).replace("'", "''") for c in sorted(chat.CONTROL, key=len, reverse=True))
+CHAT_SQL = f"""WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, len(regexp_extract_all(role || chr(1) || text, '{chat.E}')) + 2 * len(regexp_extract_all(role || chr(1) || text, '{ANY_CONTROL}')) AS escapes FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({sum(map(len, chat.MARKS))} + length(role) + length(text) + escapes) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_lines": op5_lines, "op2_pii": op2_pii, "op6_vectors": op6_vectors, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op5_lines": lines.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op4_jaccard": JACCARD_SQL, "op5_lines": lines.ORACLE, "op6_vectors": VECTORS_SQL, "op9_chat": CHAT_SQL}
