@@ -43,16 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df`: write it as a table in the shared folder and read it back.
 
     Parquet rather than an RDD checkpoint, so later scans still prune columns and push filters down. A lost
-    executor costs nothing: the files are in the shared folder, not in an executor.
+    executor costs nothing: the files are in the shared folder, not in an executor. They go when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _folder(spark, path, lambda fs, folder: fs.deleteOnExit(folder))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str, use) -> None:
+    """`use` of the file system of a path, and the path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    use(folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a DataFrame made by `cut` (used between iterations)."""
+    """Delete the files behind a DataFrame made by `cut` before the session ends (used between iterations)."""
     for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _folder(spark, file.rsplit("/", 1)[0], lambda fs, folder: fs.delete(folder, True))
