@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
 
 PACKED = "shard int, keys binary, items binary"
-#: Pairs of a shard that a task handles at once, about 100 MB of arrays.
-PER_SHARD = 2_000_000
+#: Pairs of a shard that a task handles at once, about 60 MB of arrays.
+PER_SHARD = 1_000_000
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,8 +61,3 @@ def cells(size: int, block: int) -> list[tuple[int, int]]:
     """Pairs of blocks (i <= j) that cover all pairs of `size` items; a small group is the one cell (0, 0)."""
     n = -(-size // block)
     return [(i, j) for i in range(n) for j in range(i, n)]
-
-
-def by_bucket(rows: DataFrame, bucket: str, run, schema: str) -> DataFrame:
-    """`run` over the rows of each bucket as one pandas frame (buckets are sized by the caller)."""
-    return rows.groupBy(bucket).applyInPandas(run, schema)

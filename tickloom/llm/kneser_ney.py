@@ -53,10 +53,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: list[str]):
-    """(first, end, pieces): runs of texts with about CHARS characters; a longer text is on its own, in pieces.
-
-    A piece carries the ORDER - 1 characters before it, so that its N-grams are those of the whole text.
-    """
+    """(first, end): runs of texts with about CHARS characters; a longer text is on its own."""
     start = total = 0
     for i, t in enumerate(texts):
         if i > start and total + len(t) > CHARS:
@@ -68,7 +65,8 @@ def slices(texts: list[str]):
 
 
 def pieces(texts: list[str]):
-    """Arrays of N-grams and lengths for a run of texts; one long text comes in parts, each with its own length."""
+    """Arrays of N-grams and lengths for a run of texts; one long text comes in parts, each with its own length. A part
+    carries the ORDER - 1 characters before it, so that its N-grams are those of the whole text."""
     if len(texts) > 1 or len(texts[0]) <= 2 * CHARS:
         yield grams(texts)
         return
