@@ -211,9 +211,10 @@ def test_long_text_hashes_like_a_short_one(monkeypatch):
 
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 1), (20, 21), (21, 22), (30, 30)] + [(100 + i, 101 + i) for i in range(40)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {9: 1, 8: 1, 7: 1, 1: 1, 20: 20, 21: 20, 22: 20} | {100 + i: 100 for i in range(41)}
-    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    for most in (0, 10**6):  # by rounds, and in one task
+        found = components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b", in_one_task=most)
+        assert {r.node: r.component for r in found.collect()} == {9: 1, 8: 1, 7: 1, 1: 1, 20: 20, 21: 20, 22: 20} | {100 + i: 100 for i in range(41)}
+        assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b", in_one_task=most - 1).count() == 0
 
 
 def plain_vectors(rows, threshold=0.95):
