@@ -7,10 +7,13 @@ are equal. Enumerating the non-empty parts in the order of the partitions, the f
 k + 1 of the other share one that is equal in both: these are the signatures. (Small sets use one-element parts.)
 
 Equal sets are one item from the start (an item is the hash of a set), so copies never multiply. Items that share a
-signature are candidates, in two rounds: first each item is compared with the one partner at the head of a group
-that it shares most signatures with; then, where a group still spans several components, all its pairs across
-components are tried. A parity sketch, which can only understate a difference, discards pairs before they leave the
-task; what remains is checked exactly on the sets. So components are exact, without emitting the pairs of a group.
+signature are candidates, in rounds that never emit the pairs of a group. First each item is compared with the one
+item at the head of a group that it shares most signatures with. Then, in small parts of the groups that still span
+several components, items are covered by leaders: an item that fewer than `LEADERS` took becomes one, and takes those
+that may link with it and that fewer took. This connects early what is alike, also where only some of a family link. Last, in a part of the groups and then in all of them, every pair
+across components that may link and was not checked yet is tried; so the first rounds only save work. "May link" is
+told by sizes and by a parity sketch, which can only understate a difference; links are decided on the sets. So
+components are exact: a pair that shares a signature is ruled out by its sketch, checked, or already connected.
 
 Defined results: a null text, or one without words, has no shingle and links with nothing; fewer than five words are
 one shingle; rows with the same text link (if they have words); a null id is carried and never a component's id
@@ -26,12 +29,18 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.collide import GOLD, PACKED, cells, mix64, pack, shared, shards_for
 from tickloom.llm.components import components
-from tickloom.llm.shingles import expand, set_id, shingle_set, sketch, squeeze, words_of
+from tickloom.llm.shingles import expand, far_apart, fold, level, set_id, shingle_set, sketch, squeeze, words_of
 from tickloom.session import cut
 
 PERCENT = 75
 #: Sets of up to this size use one-element parts; items of a group that are compared in one block.
 SINGLE, BLOCK = 31, 4096
+#: Carriers of items up to which their ids are broadcast to the texts instead of shuffling the texts to them.
+BROADCAST_ROWS = 300_000
+#: Groups fall into PARTS by hash; at most COVERS of these are covered, one after another, and LEADERS may take an item.
+PARTS, COVERS, LEADERS = 32, 3, 8
+#: Checked pairs up to which later rounds know them beforehand (8 bytes each); beyond, they are checked again.
+KNOWN_PAIRS = 2_000_000
 LEAST = -(2**63)
 
 
@@ -145,7 +154,7 @@ def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int, s
             return pd.DataFrame({"_group": [-1], "_items": [np.unique(np.frombuffer(b"".join(pdf["items"]), np.int64))], "_weight": [1]})
         _, start, items = shared(pdf)
         if not len(start):
-            return pd.DataFrame({"_group": [], "_items": [], "_weight": []})
+            return pd.DataFrame({"_group": [], "_items": [], "_weight": []}, dtype=object)
         size = np.diff(np.r_[start, len(items)])
         name = mix64(np.add.reduceat(mix64(items.view(np.uint64)), start) + size.astype(np.uint64)) >> np.uint64(1)
         name, at, weight = np.unique(name, return_index=True, return_counts=True)
@@ -173,8 +182,9 @@ def verified(pairs: DataFrame, items: DataFrame, docs: DataFrame, text: str, key
     salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_salts")).cast("int").alias("_salt"))
     need = salted.select(F.col("b").alias("_item"), F.col("a").alias("_lead"), "_salt").unionByName(salted.select(F.col("a").alias("_item"), F.col("a").alias("_lead"), "_salt").distinct())
     place = F.struct("_lead", F.pmod(F.xxhash64("_lead", "_salt"), F.lit(buckets)).cast("int").alias("bucket"))
-    carriers = need.join(items, "_item").groupBy("_doc", "_hash", "_item").agg(F.collect_set(place).alias("_places"))
-    texts = keyed(docs, text, key).join(carriers, ["_doc", "_hash"]).select("_item", "_places", "_text")
+    carriers = cut(need.join(items.select("_item", "_doc", "_hash"), "_item").groupBy("_doc", "_hash", "_item").agg(F.collect_set(place).alias("_places")))
+    side = F.broadcast(carriers) if carriers.count() <= BROADCAST_ROWS else carriers
+    texts = keyed(docs, text, key).join(side, ["_doc", "_hash"]).select("_item", "_places", "_text")
 
     def ship(batches):
         for batch in batches:
@@ -202,34 +212,88 @@ def verified(pairs: DataFrame, items: DataFrame, docs: DataFrame, text: str, key
     return cut(texts.mapInPandas(ship, "bucket int, lead long, item long, data binary").groupBy("bucket").applyInPandas(check, "a long, b long"))
 
 
-def across(groups: DataFrame, comps: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Pairs of items that share a group but not a component, which sizes and sketches don't rule out."""
+def plausible(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches don't rule out."""
+    side = lambda c: items.select(F.col("_item").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("_sketch").alias(f"s_{c}"))
+    wide = pairs.join(side("a"), "a").where("n_a IS NOT NULL").join(side("b"), "b")
+    wide = wide.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def run(batches):
+        for pdf in batches:
+            far = np.array([far_apart(x, y) for x, y in zip(pdf["s_a"], pdf["s_b"], strict=True)], np.int64)
+            yield pdf.loc[far <= most_different(pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy(), percent), ["a", "b"]]
+
+    return wide.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(run, "a long, b long")
+
+
+def pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit names of pairs of items."""
+    return mix64(mix64(a.view(np.uint64)) + b.view(np.uint64) * GOLD)
+
+
+def close_pairs(item: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches: list[bytes], percent: int, cover: bool, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group's items across components that sizes, sketches and `skip` don't rule out: all of them, or
+    (`cover`) those of leaders with the items that they take."""
+    order = np.argsort(size, kind="stable")
+    item, comp, size = item[order], comp[order], size[order]
+    lev = level(size)
+    rows = {x: np.frombuffer(b"".join(sketches[i] for i in order[lev == x]), np.uint64).reshape(int((lev == x).sum()), -1) for x in np.unique(lev).tolist()}
+    folded = {x - 1: fold(m) for x, m in rows.items() if m.shape[1] > 1}
+    first = {x: int(np.searchsorted(lev, x)) for x in rows}
+    most = np.searchsorted(size, size * 100 // percent, side="right")
+    left, right = [item[:0]], [item[:0]]
+    taken = np.zeros(len(item), np.int64)
+    for i in range(len(item) - 1):
+        if cover and taken[i] >= LEADERS:
+            continue
+        mine = rows[int(lev[i])][i - first[int(lev[i])]]
+        for x, table in ((int(lev[i]), rows), (int(lev[i]) + 1, folded)):
+            if x not in first:
+                continue
+            lo, hi = max(i + 1, first[x]), min(int(most[i]), first[x] + len(rows[x]))
+            if lo >= hi:
+                continue
+            j = lo + np.flatnonzero((comp[lo:hi] != comp[i]) & (taken[lo:hi] < LEADERS))
+            if not len(j):
+                continue
+            other = table[x if table is rows else x - 1][j - first[x]]
+            far = np.bitwise_count(other ^ mine).sum(1, dtype=np.int64)
+            j = j[far <= most_different(size[j], size[i], percent)]
+            if len(skip) and len(j):
+                name = pair_names(np.minimum(item[j], item[i]), np.maximum(item[j], item[i]))
+                j = j[skip[np.minimum(np.searchsorted(skip, name), len(skip) - 1)] != name]
+            if cover:
+                taken[j] += 1
+            left.append(np.full(len(j), item[i]))
+            right.append(item[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def across(groups: DataFrame, comps: DataFrame, items: DataFrame, percent: int, cover: bool, known: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a group's items in different components that may link and are not known: all, or a cover."""
+    skip = np.zeros(0, np.uint64)
+    if known.count() <= KNOWN_PAIRS:
+        flat = known.toPandas()
+        skip = np.sort(pair_names(flat["a"].to_numpy(np.int64), flat["b"].to_numpy(np.int64)))
+    spread = groups.sparkSession.sparkContext.broadcast(skip)
     rows = groups.select("_group", F.explode("_items").alias("_item"))
     rows = rows.join(comps.select(F.col("node").alias("_item"), "component"), "_item", "left").withColumn("component", F.coalesce("component", "_item"))
     split = rows.groupBy("_group").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
     split = cut(split.select("_group", "_n"))
-    buckets = max(1, -(-(split.agg(F.sum("_n")).first()[0] or 0) // 20_000))
+    buckets = max(1, -(-(split.agg(F.sum("_n")).first()[0] or 0) // 8_000))
     full = rows.join(split, "_group", "left_semi").join(items.select("_item", "n_shingles", "_sketch"), "_item")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_group", "_item"], kind="stable")
         group, item = pdf["_group"].to_numpy(), pdf["_item"].to_numpy()
-        comp, size = pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy()
-        marks = np.frombuffer(b"".join(pdf["_sketch"]), np.uint64).reshape(len(pdf), -1)
+        comp, size, sketches = pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy(), pdf["_sketch"].tolist()
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         left, right = [], []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
-            for i in range(a, b - 1):
-                rest = slice(i + 1, b)
-                fit = (comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
-                j = np.flatnonzero(fit) + i + 1
-                if len(j):
-                    far = np.bitwise_count(marks[j] ^ marks[i]).sum(1, dtype=np.int64)
-                    j = j[far <= most_different(size[j], size[i], percent)]
-                    left.append(np.full(len(j), item[i]))
-                    right.append(item[j])
-        pairs = pd.DataFrame({"a": np.concatenate(left) if left else [], "b": np.concatenate(right) if right else []}, dtype="int64")
-        return pairs.drop_duplicates()
+            x, y = close_pairs(item[a:b], comp[a:b], size[a:b], sketches[a:b], percent, cover, spread.value)
+            left.append(np.minimum(x, y))
+            right.append(np.maximum(x, y))
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
     wide = full.withColumn("bucket", F.pmod("_group", F.lit(buckets)).cast("int"))
     return wide.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
@@ -238,7 +302,6 @@ def across(groups: DataFrame, comps: DataFrame, items: DataFrame, percent: int)
 def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: _id, _doc, _hash, n_shingles, component_id, and _first: whether it is the first of its
     component in order of (id, hash of the text)."""
-    spark = docs.sparkSession
     known = cut(describe(docs, text, key))
     sizes = known.agg(F.sum("n_shingles")).first()[0] or 0
     place = F.struct("_doc", "_hash")
@@ -249,12 +312,27 @@ def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str =
         groups = groups_of(docs, text, key, shards, percent, 1 << 62)
     stars = groups.where("_group <> -1").select(F.col("_items")[0].alias("a"), F.explode(F.slice("_items", 2, F.size("_items"))).alias("b"), "_weight")
     best = stars.groupBy("a", "b").agg(F.sum("_weight").alias("_w")).groupBy("b").agg(F.max_by("a", F.struct("_w", -F.col("a"))).alias("a"))
-    first = verified(best.select("a", "b"), items, docs, text, key, percent)
-    comps = cut(components(first, "a", "b"))
-    rest = across(groups.where("_group <> -1"), comps, items, percent)
-    second = verified(rest.join(first, ["a", "b"], "left_anti"), items, docs, text, key, percent)
-    if second.limit(1).count():
-        comps = cut(components(first.unionByName(second), "a", "b"))
+    checked = lambda pairs: verified(pairs, items, docs, text, key, percent)
+    groups = groups.where("_group <> -1")
+    part = F.pmod(F.shiftright("_group", 3), F.lit(PARTS))
+    tried = cut(plausible(best.select("a", "b"), items, percent))
+    links = checked(tried)
+    comps = cut(components(links, "a", "b"))
+    plans = [(groups.where(part == i), True) for i in range(COVERS)] + [(groups.where(part == COVERS), False), (groups, False)]
+    settled = False
+    for some, cover in plans:
+        if cover and settled:
+            continue  # the last part found nothing new: go on to trying all pairs
+        pairs = cut(across(some, comps, items, percent, cover, tried))
+        settled = pairs.limit(1).count() == 0
+        if settled:
+            continue
+        tried = tried.unionByName(pairs)
+        new = checked(pairs)
+        settled = new.limit(1).count() == 0
+        if not settled:
+            links = links.unionByName(new)
+            comps = cut(components(links, "a", "b"))
     named = known.join(comps.select(F.col("node").alias("_item"), "component"), "_item", "left").withColumn("component", F.coalesce("component", "_item"))
     heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min("_id").alias("_least"), F.min(place).alias("_head"))
     out = named.select("_id", "_doc", "_hash", "n_shingles", "component").join(heads, "component", "left")

@@ -102,14 +102,31 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix64(np.array([total], np.uint64))[0] >> np.uint64(1))
 
 
-#: Bits of the parity sketch of a set.
-BITS = 2048
+def level(sizes: np.ndarray) -> np.ndarray:
+    """The sketch size of sets of these sizes, as a power of two: at least a bit for each element."""
+    return np.maximum(8, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """The parity of the number of elements in each of BITS parts. Two sets differ in at least as many elements as
-    their sketches differ in bits."""
-    return np.packbits(np.bincount((mix64(shingles) >> np.uint64(53)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """The parity of the number of elements in each of 2^level parts. Two sets differ in at least as many elements as
+    their sketches differ in bits; a larger sketch folds to a smaller one by combining its halves."""
+    bits = 1 << int(level(np.array([len(shingles)]))[0])
+    part = (mix64(shingles) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def fold(sketches: np.ndarray) -> np.ndarray:
+    """Rows of sketches (as 64-bit words) one level smaller."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def far_apart(a: bytes, b: bytes) -> int:
+    """The bits in which two sketches differ, at the smaller one's size: no more than their sets differ."""
+    x, y = (np.frombuffer(v, np.uint64)[None, :] for v in ((a, b) if len(a) <= len(b) else (b, a)))
+    while y.shape[1] > x.shape[1]:
+        y = fold(y)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def squeeze(shingles: np.ndarray) -> bytes:
