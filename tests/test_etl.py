@@ -86,7 +86,8 @@ def test_landing_zone(spark, tmp_path):
     got = files.listing(spark, str(tmp_path)).orderBy("day").collect()
     assert [(r.symbol, r.day, r.daily, r.size) for r in got] == [("BTC", "20240101", True, 16), ("BTC", "20240102", False, 17)]
     assert files.between(files.listing(spark, str(tmp_path)), "20240102", "20240103", "btc").count() == 1
-    assert [r.path[-20:] for r in files.unreadable(spark, str(tmp_path)).collect()] == ["_RAW_20240102.parquet"[-20:]]
+    spark.createDataFrame([(1, 0, 1.0, 1.0)], "timestamp long, side byte, price double, quantity double").coalesce(1).write.parquet(str(tmp_path / "good"))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.unreadable(spark, str(tmp_path)).collect()) == ["BTC_RAW_20240101_DAILY.parquet", "BTC_RAW_20240102.parquet"]
     digests = spark.createDataFrame([("BTC_RAW_20240102.parquet", hashlib.md5(b"PAR1 cut short xx").hexdigest()), ("BTC_RAW_20240101_DAILY.parquet", "0" * 64), ("none", "0" * 32)], "file string, digest string")
     assert {r.file: r.ok for r in files.verify(spark, str(tmp_path), digests).collect()} == {"BTC_RAW_20240102.parquet": True, "BTC_RAW_20240101_DAILY.parquet": False, "none": False}
 

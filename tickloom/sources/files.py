@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import human_size
-from tickloom.sources.tape import NAME
+from tickloom.sources.tape import NAME, TAPE
 
 
 def listing(spark: SparkSession, *paths: str, pattern: str = "*.parquet") -> DataFrame:
@@ -30,10 +30,11 @@ def verify(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
 
 
 def unreadable(spark: SparkSession, *paths: str) -> DataFrame:
-    """path of Parquet files without the magic bytes at both ends (cut short or overwritten), for quarantine."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(list(paths))
-    magic = lambda part: F.coalesce(F.decode(part, "ISO-8859-1") == "PAR1", F.lit(False))
-    return files.where((F.col("length") < 12) | ~magic(F.substring("content", 1, 4)) | ~magic(F.expr("substring(content, cast(length AS int) - 3, 4)"))).select("path")
+    """path of tape files that give no row (cut short, overwritten or empty), for quarantine. Only footers are read:
+    no column is asked for, and what can't be opened is passed over."""
+    rows = spark.read.schema(TAPE).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", "true").parquet(*paths)
+    fine = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
+    return listing(spark, *paths).select("path").join(fine, "path", "left_anti")
 
 
 def first_rows(tape: DataFrame, by: list[str]) -> DataFrame:
