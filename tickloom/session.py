@@ -24,8 +24,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, a
     )
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package, whatever folder the driver was started in. On a cluster
+    the package is shipped, and a path that isn't there does no harm."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables; only Spark's reader touches the path."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
