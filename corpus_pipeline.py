@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, jaccard, kneser_ney, lines, mixing
 from tickloom.llm.queries import BYTE_BPE, trusted_ids
-from tickloom.session import cut, table
+from tickloom.session import cut, importable, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,6 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with alike shingles."""
+    importable(spark)
     return jaccard.dedup(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -41,6 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document of the mix, told by count and digests."""
+    importable(spark)
     return bpe.round_trip(docs, BYTE_BPE)
 
 
