@@ -3,12 +3,14 @@
 import hashlib
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import models
 from tickloom.operators import etl, quality, recon
+from tickloom.plans import registry
 from tickloom.sources import files, session_logs
 from tickloom.sources.tape import read_tape, sequenced
 
@@ -179,3 +181,15 @@ def test_index_percentiles_need_more_than_a_hundred(spark):
     rows = [("a", float(i)) for i in range(1, 102)] + [("b", float(i)) for i in range(1, 11)]
     got = {r.k: (r.p50, r.p95, r.p99) for r in recon.index_percentiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
     assert got == {"a": (51.0, 96.0, 100.0), "b": (6.0, 10.0, 10.0)}
+
+
+def test_packed_depth_holds_every_order_to_its_depth(spark):
+    """Against SQL over all lines: only the depth of 4 limits the levels."""
+    sf = "/root/testdata/sf0.001"
+    levels = ", ".join(f"max(p) FILTER (i = {i}), max(q) FILTER (i = {i})" for i in range(4))
+    want = duckdb.sql(f"""WITH l AS (
+      SELECT l_orderkey, l_linenumber::DOUBLE AS p, floor(min(l_quantity)) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM '{sf}/lineitem.parquet' GROUP BY l_orderkey, l_linenumber
+    ) SELECT l_orderkey, {levels} FROM l GROUP BY l_orderkey""").fetchall()
+    got = [tuple(r) for r in registry.queries()["packed_depth"](spark, sf).collect()]
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert any(r[7] is not None for r in got)
