@@ -361,3 +361,21 @@ def test_pipeline_stages_take_effect(spark):
     out = cp.run(spark, SF).collect()
     codec = bpe.codec(BYTE_BPE)
     assert out and all(r.n_tokens > 0 for r in out) and {r.doc_id for r in out} <= good and codec.decode([]) == ""
+
+
+def test_quality_rejects_repeated_words_and_lines(spark):
+    """Ordinary letters over and over: no perplexity gives them away."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", F.lit(None).cast("string").alias("source"))
+    again = {-1: ("Der " * 500, "de"), -2: ("the and " * 300, "en"), -3: ("The and attion to thanedble the, anea.\n" * 60, "en"), -4: ("de la " * 300, "xx")}
+    extra = spark.createDataFrame([(i, t, lang, None) for i, (t, lang) in again.items()], docs.schema)
+    good = trusted_ids(spark, SF)
+    got = {r._doc: r for r in kneser_ney.classify(docs.unionByName(extra), good).collect()}
+    assert all(got[i].repetition > 0.9 and not got[i].kept for i in again)
+    assert np.mean([got[r.doc_id].kept for r in good.collect() if r.doc_id in got]) > 0.95
+
+
+def test_repetition_equals_brute_force():
+    texts = ["", "short", "x" * 17, "abcdefghijklmnopqrstuvwxyz", "Der Der " * 30, "漢字かな交じり" * 9, "a\ud800b" * 20]
+    runs = lambda t: [t[i : i + 16] for i in range(len(t) - 15)]
+    want = [1 - len(set(runs(t))) / len(runs(t)) if len(t) > 16 else 0.0 for t in texts]
+    assert kneser_ney.repetition(texts).tolist() == pytest.approx(want)

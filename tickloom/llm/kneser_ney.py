@@ -11,11 +11,15 @@ Scoring looks up the log-probabilities of a document's N-grams. While the table
 bounded text, each block's distinct N-grams are joined to the table, and come back to the block's documents: the
 same numbers, with one shuffle of the text, and nothing that must fit a machine.
 
-A document is kept if its perplexity is at most the `quantile` of the trusted documents of its language.
+An N-gram model finds nothing wrong with one word or line repeated, so a document's repetition is measured too: the
+share of its runs of RUN characters that it holds already. Nothing is trained for it.
+
+A document is kept if its perplexity is at most its threshold: the `quantile` of the perplexity of the trusted documents
+of its language, or 0 where its repetition is above the same quantile of theirs.
 
 Defined results: null and empty texts have no perplexity and are rejected; a language without trusted documents, a
-null one included, uses the quantile over all trusted documents; without any trusted document everything with text
-is kept; a perplexity exactly at the threshold is kept. Rows with equal id and text fare alike. Extra columns are
+null one included, uses the quantiles over all trusted documents; without any trusted document everything with text
+is kept; a perplexity or repetition exactly at its limit is kept; texts of at most RUN characters repeat nothing. Rows with equal id and text fare alike. Extra columns are
 carried along by `keep`.
 """
 
@@ -26,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.collide import GOLD, mix64
 from tickloom.llm.sides import attach
 from tickloom.session import cut
 
@@ -37,6 +42,8 @@ BROADCAST_GRAMS = 4_000_000
 #: Characters that are turned into arrays at once, and characters of a block in the sharded scoring.
 CHARS, BLOCK_CHARS = 1_000_000, 12_000_000
 LEAST = -(2**63)
+#: Characters of a run in the measure of repetition, a power of 2.
+RUN = 16
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +59,25 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[own], size
 
 
+def run_hashes(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the RUN characters from each position on."""
+    h, width = mix64(points), 1
+    while width < RUN:
+        h = mix64(h[:-width] * GOLD + h[width:])
+        width *= 2
+    return h
+
+
+def repetition(texts: list[str]) -> np.ndarray:
+    """The share of each text's runs of RUN characters that the text holds at an earlier place too."""
+    out = np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        if len(t) > RUN:
+            h = np.sort(run_hashes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)))
+            out[i] = np.count_nonzero(h[1:] == h[:-1]) / len(h)
+    return out
+
+
 def slices(texts: list[str]):
     """(first, end): runs of texts with about CHARS characters; a longer text is on its own."""
     start = total = 0
@@ -179,10 +205,10 @@ def log_sums(texts: list[str], codes: np.ndarray, logs: np.ndarray) -> np.ndarra
 
 
 def scored(docs: DataFrame, table: DataFrame, text: str, lang: str, most: int = BROADCAST_GRAMS) -> DataFrame:
-    """_doc, _hash, _lang, _trusted, n_chars, perplexity of each row of marked, keyed documents."""
+    """_doc, _hash, _lang, _trusted, n_chars, perplexity, repetition of each row of marked, keyed documents."""
     rows = docs.select("_doc", "_hash", F.col(lang).alias("_lang"), "_trusted", F.col(text).alias("_text"))
     lang_type = docs.schema[lang].dataType.simpleString()
-    schema = f"_doc long, _hash long, _lang {lang_type}, _trusted boolean, n_chars long, perplexity double"
+    schema = f"_doc long, _hash long, _lang {lang_type}, _trusted boolean, n_chars long, perplexity double, repetition double"
 
     def score(pdf: pd.DataFrame, codes: np.ndarray, logs: np.ndarray) -> pd.DataFrame:
         texts = [x if isinstance(x, str) else "" for x in pdf["_text"]]
@@ -191,6 +217,7 @@ def scored(docs: DataFrame, table: DataFrame, text: str, lang: str, most: int =
         out["n_chars"] = n
         mean = log_sums(texts, codes, logs) / np.maximum(n, 1)
         out["perplexity"] = pd.array([float(np.exp(-m)) if k else None for m, k in zip(mean, n, strict=True)], dtype="Float64")
+        out["repetition"] = repetition(texts)
         return out
 
     if table.count() <= most:
@@ -233,7 +260,7 @@ def scored(docs: DataFrame, table: DataFrame, text: str, lang: str, most: int =
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, text: str = "text", key: str = "doc_id", lang: str = "lang", most: int = BROADCAST_GRAMS) -> DataFrame:
-    """Per row: _doc, _hash (of its text), _lang, _trusted, n_chars, perplexity, threshold, kept.
+    """Per row: _doc, _hash (of its text), _lang, _trusted, n_chars, perplexity, repetition, threshold, kept.
 
     `trusted`: a table with the ids of the documents whose text is trusted.
     """
@@ -242,12 +269,13 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, text:
     table = cut(probabilities(counts.select("code"), train(counts)))
     scores = cut(scored(rows, table, text, lang, most))
     good = scores.where("_trusted AND perplexity IS NOT NULL")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    limits = cut(good.groupBy("_lang").agg(at.alias("_limit")).where("_lang IS NOT NULL"))
-    overall = good.agg(at.alias("_all"))
+    at = lambda c: F.percentile_approx(c, F.lit(quantile), F.lit(10_000))
+    limits = cut(good.groupBy("_lang").agg(at("perplexity").alias("_limit"), at("repetition").alias("_most")).where("_lang IS NOT NULL"))
+    overall = good.agg(at("perplexity").alias("_all"), at("repetition").alias("_all_most"))
     out = attach(scores, limits, "_lang").crossJoin(F.broadcast(overall))
-    limit = F.coalesce("_limit", "_all", F.lit(float("inf")))
-    return out.withColumn("threshold", limit).withColumn("kept", F.coalesce(F.col("perplexity") <= limit, F.lit(False))).drop("_limit", "_all")
+    repeats = F.col("repetition") > F.coalesce("_most", "_all_most", F.lit(float("inf")))
+    limit = F.when(repeats, 0.0).otherwise(F.coalesce("_limit", "_all", F.lit(float("inf"))))
+    return out.withColumn("threshold", limit).withColumn("kept", F.coalesce(F.col("perplexity") <= limit, F.lit(False))).drop("_limit", "_all", "_most", "_all_most")
 
 
 def keep(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
