@@ -379,3 +379,12 @@ def test_repetition_equals_brute_force():
     runs = lambda t: [t[i : i + 16] for i in range(len(t) - 15)]
     want = [1 - len(set(runs(t))) / len(runs(t)) if len(t) > 16 else 0.0 for t in texts]
     assert kneser_ney.repetition(texts).tolist() == pytest.approx(want)
+
+
+def test_vectors_count_a_pair_once_in_more_than_256_tables(spark, monkeypatch):
+    monkeypatch.setattr(neardup_vectors, "plan", lambda n, threshold, recall: (4, 300))
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 16))
+    rows = [(10 * c + i, (base[c] + 0.02 * rng.standard_normal(16)).astype(np.float32).tolist()) for c in range(6) for i in range(4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in neardup_vectors.link(frame).collect()} == plain_vectors(rows)

@@ -57,10 +57,10 @@ class Hasher:
         self.salt = rng.integers(1, 2**63, (tables, k), dtype=np.uint64) | np.uint64(1)
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """Rows by tables: 64-bit keys whose lowest byte is table % 256."""
+        """Rows by tables: 64-bit keys whose lowest two bytes are the table."""
         cell = np.floor((x @ self.axes + self.shift) / self.width).astype(np.int64).view(np.uint64).reshape(len(x), self.tables, self.k)
         key = mix64((cell * self.salt).sum(2, dtype=np.uint64) + np.arange(self.tables, dtype=np.uint64) * GOLD + np.uint64(x.shape[1]))
-        return key & ~np.uint64(0xFF) | (np.arange(self.tables) % 256).astype(np.uint64)
+        return key & ~np.uint64(0xFFFF) | np.arange(self.tables).astype(np.uint64)
 
 
 def local_components(near: np.ndarray) -> np.ndarray:
@@ -116,11 +116,11 @@ def link(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.995, see
                     cell.append(np.full(len(part), name))
                     left.append(np.full(len(part), side == 0))
                     right.append(np.full(len(part), side == 1 or i == j))
-                    table.append(np.full(len(part), key & 0xFF))
+                    table.append(np.full(len(part), key & 0xFFFF))
         flat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
-        return pd.DataFrame({"cell": flat(cell, np.int64), "_id": flat(who, np.int64), "left": flat(left, bool), "right": flat(right, bool), "tab": flat(table, np.int16)})
+        return pd.DataFrame({"cell": flat(cell, np.int64), "_id": flat(who, np.int64), "left": flat(left, bool), "right": flat(right, bool), "tab": flat(table, np.int32)})
 
-    met = cut(reps.select("_id", "_v").mapInPandas(hash_rows, PACKED).groupBy("shard").applyInPandas(meet, "cell long, _id long, left boolean, right boolean, tab short"))
+    met = cut(reps.select("_id", "_v").mapInPandas(hash_rows, PACKED).groupBy("shard").applyInPandas(meet, "cell long, _id long, left boolean, right boolean, tab int"))
     rows = met.count()
     buckets = max(1, -(-rows // 10_000))
 
@@ -158,7 +158,7 @@ def link(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.995, see
             first = np.empty(len(i), np.int64)
             for s in range(0, len(i), 100_000):
                 first[s : s + 100_000] = (mark[i[s : s + 100_000]] == mark[j[s : s + 100_000]]).argmax(1)
-            mine = first % 256 == tab[a]  # else counted in an earlier table
+            mine = first == tab[a]  # else counted in an earlier table
             links = np.bincount(i[mine], weights=mult[a:b][j[mine]], minlength=b - a).astype(np.int64)
             low = local_components(near)
             some = near.any(1)
