@@ -243,3 +243,10 @@ def test_chat_masks_and_offsets(spark):
     assert not any(one[0].mask) and tok.decode([i for i, m in zip(one[1].ids, one[1].mask, strict=True) if m]) == "yes"
     assert all(i in mark.values() or i < tok.get_vocab_size() for c in chunks for i in c.ids) and len(chunks) == 4
     assert chat.read_back(chat.assemble(encoded.limit(0)), PATH).count() == 0
+
+
+@pytest.mark.parametrize("size", [512, 513, 1600, 20_000])
+def test_secrets_are_proposed_at_any_length(size):
+    token = ("aB3dE6gH9jK2mN5pQ8sT/" * (size // 20 + 1))[:size]
+    text = f"api_key: {token}== end"
+    assert (9, pii.KINDS.index("secret"), 11 + size) in pii.candidates(text, [])
