@@ -3,7 +3,6 @@ oracle; the rest is held against worked cases in the tests."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
@@ -11,8 +10,8 @@ from tickloom.operators import kernels as K
 from tickloom.operators import recon
 from tickloom.operators import windows as win
 from tickloom.plans.book_plans import BY, TOP1, levels_sql, tape
+from tickloom.plans.window_plans import segmented
 from tickloom.sources.driver_tables import HOUR, tape_from_events, tape_sql
-from tickloom.sources.tape import merged
 
 
 def crossed_tape(spark, sf_dir):
@@ -56,20 +55,19 @@ def session_replay(spark, sf_dir):
 
 
 def maker_backtest(spark, sf_dir):
-    """cc's trades score the bj and cc flow; one passive quote at a time."""
-    t = tape(spark, sf_dir)
-    day = F.floor(F.col("timestamp") / 86_400_000)
-    line = F.row_number().over(W.partitionBy(day).orderBy(*merged(t, F.col("venue"), ["arrival"])))
-    m = t.withColumn("day", day.cast("long")).withColumn("line", line.cast("long")).withColumn("vseq", F.col("seq")).withColumn("seq", F.col("line"))
+    """cc's trades score the bj and cc flow; one passive quote at a time. All days are one session: the book, the open
+    quote, inventory and cash go from day to day, and there is one warm-up. Only the flow is computed in segments."""
+    m = segmented(tape(spark, sf_dir)).withColumn("seq", F.col("line"))
     is_t = lambda v: (F.col("venue") == v) & (F.col("side") == 2)
-    flow = win.flow(F.when(is_t("bj"), S.taker_buy(F.col("quantity"))).otherwise(0.0), F.when(is_t("bj"), S.taker_sell(F.col("quantity"))).otherwise(0.0), ["day"], 6 * HOUR)
+    flow = win.flow(F.when(is_t("bj"), S.taker_buy(F.col("quantity"))).otherwise(0.0), F.when(is_t("bj"), S.taker_sell(F.col("quantity"))).otherwise(0.0), ["segment"], 6 * HOUR)
     alpha = F.when(is_t("cc"), F.round(flow, 6) / 20.0)
-    rows = m.withColumn("alpha", alpha).withColumn("own", F.col("venue") == "cc").withColumn("session", F.lit("s"))
-    return K.backtest(rows, ["day"], 0.1, 1.0, 4 * HOUR, HOUR, "improve_1_tick", tick=0.5, cancel_ms=50.0)
+    rows = m.withColumn("alpha", alpha).where("emits").withColumn("own", F.col("venue") == "cc").withColumn("session", F.lit("s"))
+    rows = rows.withColumn("line", F.col("segment").cast("long") * (1 << 40) + F.col("line"))
+    return K.backtest(rows, ["session"], 0.1, 1.0, 4 * HOUR, HOUR, "improve_1_tick", tick=0.5, cancel_ms=50.0)
 
 
 def maker_backtest_report(spark, sf_dir):
-    return K.backtest_report(maker_backtest(spark, sf_dir), ["day"])
+    return K.backtest_report(maker_backtest(spark, sf_dir), ["session"])
 
 
 def fill_matching(spark, sf_dir):
