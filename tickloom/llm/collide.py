@@ -31,19 +31,22 @@ def shards_for(pairs: float) -> int:
     return max(1, int(-(-pairs // PER_SHARD)))
 
 
-def pack(keys: np.ndarray, items: np.ndarray, shards: int) -> pd.DataFrame:
-    """Rows of PACKED; keys are uint64, items int64."""
-    shard = (keys >> np.uint64(17)) % np.uint64(shards)
+def pack(keys: np.ndarray, items: np.ndarray, shards: int, narrow: bool = False) -> pd.DataFrame:
+    """Rows of PACKED; keys are uint64, items int64. `narrow`: the shard follows from a key's upper half and only the
+    lower half is shipped, for users that take a few false meetings in a shard of a million pairs."""
+    shard = (keys >> np.uint64(32 if narrow else 17)) % np.uint64(shards)
     order = np.argsort(shard, kind="stable")
     keys, items, shard = keys[order], items[order], shard[order]
+    if narrow:
+        keys = keys.astype(np.uint32)
     cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, int)
-    ends = np.r_[cuts[1:], len(keys)]
+    ends = np.r_[cuts[1:], len(keys)][: len(cuts)]
     return pd.DataFrame({"shard": shard[cuts].astype(np.int32), "keys": [keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "items": [items[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
 
 
-def shared(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared(pdf: pd.DataFrame, narrow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one shard: the keys with at least two distinct items, the start of each in the items, and the items."""
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
+    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint32 if narrow else np.uint64)
     items = np.frombuffer(b"".join(pdf["items"]), np.int64)
     order = np.argsort(items, kind="stable")
     order = order[np.argsort(keys[order], kind="stable")]

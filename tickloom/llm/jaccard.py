@@ -1,20 +1,29 @@
 """N-gram Jaccard join with PartEnum signatures; components of documents whose shingle sets are alike.
 
-Sets fall into size bands that double; a set signs its own band, and the next one if a partner may be there. In a
-band the feature domain is partitioned by hash. Sets with Jaccard similarity at least g and sizes s and t differ in at
-most k = (1 - g) / (1 + g) * (s + t) elements, so at most k partitions differ, and the parts a set has in the others
-are equal. Enumerating the non-empty parts in the order of the partitions, the first k + 1 of one set and the first
-k + 1 of the other share one that is equal in both: these are the signatures. (Small sets use one-element parts.)
+Sets fall into size bands that grow by the inverse of the threshold, so a set's partners are in its band or a
+neighbour; a set signs its own band and the next one. In a band, sets that link differ in at most k elements, k being
+a share of the band's largest size. The feature domain is partitioned by hash on two levels: into parts, and each of
+these into `SECOND` smaller ones. In a part, every subset of all but `OUT` of the smaller parts is enumerated, and what
+a set holds in that subset is a signature. Among more than k / (OUT + 1) parts, two sets that link have one in which
+they differ in at most OUT elements, hence one subset in which they are equal. A part counts if the set holds elements
+in more than OUT of its smaller parts, so that no subset of it is empty; the first level has a tenth more parts than
+the guarantee needs, and a set that still has too few signs its first k + 1 elements besides (a pair needs this only
+if both sets are short, and then shares one of these). A signature stands for about five shingles. Their number grows
+with k, as it must: with k or fewer signatures, k changes could break every one.
 
 Equal sets are one item from the start (an item is the hash of a set), so copies never multiply. Items that share a
 signature are candidates, in rounds that never emit the pairs of a group. First each item is compared with the one
-item at the head of a group that it shares most signatures with. Then, in small parts of the groups that still span
-several components, items are covered by leaders: an item that fewer than `LEADERS` took becomes one, and takes those
-that may link with it and that fewer took. This connects early what is alike, also where only some of a family link. Last, in a part of the groups and then in all of them, every pair
-across components that may link and was not checked yet is tried; so the first rounds only save work. "May link" is
-told by sizes and by a parity sketch, which can only understate a difference; links are decided on the sets. So
+item at the head of a group that it shares most signatures with. Then, while the pairs left are more than `PER_ITEM`
+for each item, the groups that still span several components are covered by leaders, a part of them after another: an
+item that fewer than `LEADERS` took becomes one, and takes those that may link with it and that fewer took. This
+connects early what is alike, also where only some of a family link. Last, every pair across components in all groups
+that may link and was not checked yet is tried; so the rounds before only save work. "May link" is told by sizes and
+by a parity sketch, which can only understate a difference; links are decided on the sets of 64-bit hashes. So
 components are exact: a pair that shares a signature is ruled out by its sketch, checked, or already connected.
 
+A group is handled in cells of at most two blocks of `BLOCK` items. In a group of more, the items of its largest
+component are never compared with each other, so once that is connected, cells are few.
+
 Defined results: a null text, or one without words, has no shingle and links with nothing; fewer than five words are
 one shingle; rows with the same text link (if they have words); a null id is carried and never a component's id
 unless all its members lack one; an empty table gives no rows. Extra columns are ignored.
@@ -22,25 +31,31 @@ unless all its members lack one; an empty table gives no rows. Extra columns are
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.collide import GOLD, PACKED, cells, mix64, pack, shared, shards_for
+from tickloom.llm.collide import GOLD, PACKED, mix64, pack, shared, shards_for
 from tickloom.llm.components import components
-from tickloom.llm.shingles import expand, far_apart, fold, level, set_id, shingle_set, sketch, squeeze, words_of
+from tickloom.llm.shingles import far_apart, fold, level, set_id, shingle_set, sketch, words_of
 from tickloom.session import cut
 
 PERCENT = 75
-#: Sets of up to this size use one-element parts; items of a group that are compared in one block.
-SINGLE, BLOCK = 31, 4096
-#: Carriers of items up to which their ids are broadcast to the texts instead of shuffling the texts to them.
-BROADCAST_ROWS = 300_000
+#: Smaller parts of a part, and how many of them a subset leaves out; items of a block of a group.
+SECOND, OUT, BLOCK = 4, 1, 2048
+#: Places (8 to 16 bytes each) of carriers up to which they are broadcast to the texts instead of shuffling the texts.
+BROADCAST_PLACES = 500_000
 #: Groups fall into PARTS by hash; at most COVERS of these are covered, one after another, and LEADERS may take an item.
 PARTS, COVERS, LEADERS = 32, 3, 8
-#: Checked pairs up to which later rounds know them beforehand (8 bytes each); beyond, they are checked again.
-KNOWN_PAIRS = 2_000_000
+#: Pairs across components for each item up to which all are tried at once.
+PER_ITEM = 16
+#: Rows of a task that compares the items of groups.
+CELL_ROWS = 2000
+#: Distinct items that a task remembers to sign each only once.
+REMEMBERED = 2_000_000
 LEAST = -(2**63)
 
 
@@ -49,48 +64,59 @@ def most_different(s: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
     return (s + t) * (100 - percent) // (100 + percent)
 
 
-def signatures(sets: list[np.ndarray], percent: int = PERCENT, single: int = SINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets, the set of each, and which sets have too few parts for the guarantee."""
+def bands(largest: int, percent: int) -> np.ndarray:
+    """The largest sizes of the bands that hold sizes up to `largest`: a set's partners are in its band or a neighbour."""
+    tops, low = [], 1
+    while not tops or tops[-1] < largest:
+        tops.append(max(low, low * 100 // percent))
+        low = tops[-1] + 1
+    return np.array(tops, np.int64)
+
+
+def signatures(sets: list[np.ndarray], percent: int = PERCENT, second: int = SECOND, out: int = OUT) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of non-empty sets, and the set of each. Sets that only link with equal ones have none."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    band = np.floor(np.log2(size)).astype(np.int64)
     largest = size * 100 // percent
-    out, owner, short = [], [], []
+    tops = bands(int(largest.max(initial=1)) + 1, percent)
+    band = np.searchsorted(tops, size)
+    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    kept = [sum(1 << i for i in c) for c in combinations(range(second), second - out)]
     for up in (0, 1):
-        use = np.arange(len(sets)) if not up else np.flatnonzero(largest >= 2 << band)
+        tag = np.minimum(band + up, len(tops) - 1)
+        top = tops[tag]
+        k = most_different(size, np.minimum(top, largest), percent)
+        use = np.flatnonzero((k > 0) & ((largest > tops[band]) if up else True))
         if not len(use):
             continue
-        b = band[use] + up
-        top = (2 << b) - 1
-        k = most_different(size[use], np.minimum(top, largest[use]), percent)
-        for alone in (True, False):
-            some = np.flatnonzero((top <= single) == alone)
-            if not len(some):
-                continue
-            mine, n = [sets[i] for i in use[some]], size[use[some]]
-            flat = np.concatenate(mine)
-            begin = np.cumsum(n) - n
-            salt = (b[some].astype(np.uint64) + np.uint64(1)) * GOLD
-            if alone:
-                take = np.arange(len(flat)) - np.repeat(begin, n) <= np.repeat(k[some], n)
-                doc = np.repeat(np.arange(len(some)), n)[take]
-                out.append(mix64(flat[take] + salt[doc]))
-            else:
-                parts = np.ceil(0.5 * top[some] + 3 * np.sqrt(top[some])).astype(np.int64)
-                base = np.cumsum(parts) - parts
-                part = (mix64(flat ^ GOLD) % np.repeat(parts, n).astype(np.uint64)).astype(np.int64)
-                slot = part + np.repeat(base, n)
-                total = np.zeros(int(parts.sum()), np.uint64)
-                np.add.at(total, slot, mix64(flat))
-                full = np.flatnonzero(np.bincount(slot, minlength=len(total)))
-                doc = np.searchsorted(base, full, side="right") - 1
-                first = np.searchsorted(full, base)
-                have = np.diff(np.r_[first, len(full)])
-                short.append(use[some][have <= k[some]])
-                take = np.arange(len(full)) - first[doc] <= k[some][doc]
-                full, doc = full[take], doc[take]
-                out.append(mix64(total[full] + (full - base[doc]).astype(np.uint64) * GOLD + salt[doc]))
-            owner.append(use[some][doc])
-    return np.concatenate(out), np.concatenate(owner), np.unique(np.concatenate(short)) if short else np.zeros(0, np.int64)
+        mine, n, k, salt = [sets[i] for i in use], size[use], k[use], (tag[use].astype(np.uint64) + np.uint64(1)) * GOLD
+        needed = most_different(top[use], top[use], percent) // (out + 1) + 1
+        first = np.where(needed == 1, 1, needed + -(-needed // 10) + 1)  # some parts are too empty to count
+        flat, doc = np.concatenate(mine), np.repeat(np.arange(len(use)), n)
+        name = mix64(flat + salt[doc])
+        part = (name >> np.uint64(20)) % first[doc].astype(np.uint64)
+        base = np.cumsum(first) - first
+        slot = (base[doc] + part.astype(np.int64)) * second + (name & np.uint64(0xFFFFF)).astype(np.int64) % second
+        total = np.zeros(int(first.sum()) * second, np.uint64)
+        np.add.at(total, slot, name)
+        full = (np.bincount(slot, minlength=len(total)) > 0).reshape(-1, second)
+        total = total.reshape(-1, second)
+        held = (full << np.arange(second)).sum(1)
+        doc = np.repeat(np.arange(len(use)), first)
+        place = (np.arange(len(doc)) - base[doc]).astype(np.uint64) * GOLD + salt[doc]
+        for c, keep in enumerate(kept):
+            rest = held & keep
+            fresh = rest > 0
+            for other in kept[:c]:
+                fresh &= held & other != rest  # the same elements, left over by another choice
+            some = np.flatnonzero(fresh)
+            content = total[some][:, [i for i in range(second) if keep >> i & 1]].sum(1, dtype=np.uint64)
+            keys.append(mix64(content + place[some]))
+            owner.append(use[doc[some]])
+        counted = np.bincount(doc[full.sum(1) > out], minlength=len(use))
+        for i in np.flatnonzero(counted <= k // (out + 1)).tolist():
+            keys.append(mix64(mine[i][: k[i] + 1] ^ salt[i]))
+            owner.append(np.full(min(k[i] + 1, n[i]), use[i]))
+    return np.concatenate(keys), np.concatenate(owner)
 
 
 def sets_of(texts) -> list[np.ndarray]:
@@ -130,47 +156,38 @@ def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("_id"), F.coalesce(docs[key].cast("long"), F.lit(LEAST)).alias("_doc"), F.xxhash64(docs[text]).alias("_hash"), docs[text].alias("_text"))
 
 
-def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int, single: int) -> DataFrame:
-    """_group, _items (ascending) and _weight: the sets of items that share a signature, and in how many they do.
-
-    Groups of more than BLOCK items come as blocks and pairs of blocks, each led by the group's first item. A group
-    named -1 holds items whose parts were too few for the guarantee.
-    """
+def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int) -> DataFrame:
+    """_group, _block, _head, _items (ascending) and _weight: the sets of items that share a signature, in blocks of at
+    most BLOCK items, each with the group's first item, and in how many signatures they meet."""
 
     def sign(batches):
+        seen: set = set()
         for batch in batches:
             for pdf in chunks(batch):
-                sets = [s for s in sets_of(pdf["_text"]) if len(s)]
-                if not sets:
-                    continue
-                items = np.array([set_id(s) for s in sets], np.int64)
-                keys, owner, short = signatures(sets, percent, single)
-                yield pack(keys, items[owner], shards)
-                if len(short):
-                    yield pd.DataFrame({"shard": [-1], "keys": [b""], "items": [items[short].tobytes()]})
+                fresh = {}
+                for s in sets_of(pdf["_text"]):
+                    if len(s) and (name := set_id(s)) not in seen:
+                        fresh[name] = s
+                if len(seen) + len(fresh) > REMEMBERED:
+                    seen.clear()
+                seen.update(fresh)
+                if fresh:
+                    keys, owner = signatures(list(fresh.values()), percent)
+                    yield pack(keys, np.array(list(fresh), np.int64)[owner], shards, narrow=True)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["shard"].iloc[0] == -1:
-            return pd.DataFrame({"_group": [-1], "_items": [np.unique(np.frombuffer(b"".join(pdf["items"]), np.int64))], "_weight": [1]})
-        _, start, items = shared(pdf)
+        _, start, items = shared(pdf, narrow=True)
         if not len(start):
-            return pd.DataFrame({"_group": [], "_items": [], "_weight": []}, dtype=object)
+            return pd.DataFrame({"_group": [], "_block": [], "_head": [], "_items": [], "_weight": []}, dtype=object)
         size = np.diff(np.r_[start, len(items)])
         name = mix64(np.add.reduceat(mix64(items.view(np.uint64)), start) + size.astype(np.uint64)) >> np.uint64(1)
         name, at, weight = np.unique(name, return_index=True, return_counts=True)
-        rows = []
-        for g, a, n, w in zip(name.astype(np.int64).tolist(), start[at].tolist(), size[at].tolist(), weight.tolist(), strict=True):
-            if n <= BLOCK:
-                rows.append((g, items[a : a + n], w))
-                continue
-            for i, j in cells(n, BLOCK):
-                block = [items[a + x * BLOCK : min(a + n, a + (x + 1) * BLOCK)] for x in {i, j}]
-                rows.append(((g + i * 1_000_003 + j * 7919) & (1 << 62) - 1, np.unique(np.concatenate([items[a : a + 1], *block])), w))
-        return pd.DataFrame(rows, columns=["_group", "_items", "_weight"])
+        rows = [(g, i // BLOCK, items[a], items[a + i : a + min(n, i + BLOCK)], w) for g, a, n, w in zip(name.astype(np.int64).tolist(), start[at].tolist(), size[at].tolist(), weight.tolist(), strict=True) for i in range(0, n, BLOCK)]
+        return pd.DataFrame(rows, columns=["_group", "_block", "_head", "_items", "_weight"])
 
     packed = keyed(docs, text, key).mapInPandas(sign, PACKED)
-    found = packed.groupBy("shard").applyInPandas(meet, "_group long, _items array<long>, _weight long")
-    return cut(found.groupBy("_group").agg(F.first("_items").alias("_items"), F.sum("_weight").alias("_weight")))
+    found = packed.groupBy("shard").applyInPandas(meet, "_group long, _block int, _head long, _items array<long>, _weight long")
+    return cut(found.groupBy("_group", "_block").agg(F.first("_head").alias("_head"), F.first("_items").alias("_items"), F.sum("_weight").alias("_weight")))
 
 
 def verified(pairs: DataFrame, items: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
@@ -183,23 +200,24 @@ def verified(pairs: DataFrame, items: DataFrame, docs: DataFrame, text: str, key
     need = salted.select(F.col("b").alias("_item"), F.col("a").alias("_lead"), "_salt").unionByName(salted.select(F.col("a").alias("_item"), F.col("a").alias("_lead"), "_salt").distinct())
     place = F.struct("_lead", F.pmod(F.xxhash64("_lead", "_salt"), F.lit(buckets)).cast("int").alias("bucket"))
     carriers = cut(need.join(items.select("_item", "_doc", "_hash"), "_item").groupBy("_doc", "_hash", "_item").agg(F.collect_set(place).alias("_places")))
-    side = F.broadcast(carriers) if carriers.count() <= BROADCAST_ROWS else carriers
+    places = carriers.agg(F.sum(F.size("_places"))).first()[0] or 0
+    side = F.broadcast(carriers) if places <= BROADCAST_PLACES else carriers
     texts = keyed(docs, text, key).join(side, ["_doc", "_hash"]).select("_item", "_places", "_text")
 
     def ship(batches):
         for batch in batches:
             for pdf in chunks(batch):
-                sets = [squeeze(s) for s in sets_of(pdf["_text"])]
+                sets = [s.tobytes() for s in sets_of(pdf["_text"])]
                 yield pd.DataFrame([(int(p["bucket"]), int(p["_lead"]), i, s) for i, ps, s in zip(pdf["_item"], pdf["_places"], sets, strict=True) for p in ps], columns=["bucket", "lead", "item", "data"])
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        lead_of = {i: expand(d) for i, lead, d in zip(pdf["item"], pdf["lead"], pdf["data"], strict=True) if i == lead}
+        lead_of = {i: np.frombuffer(d, np.uint64) for i, lead, d in zip(pdf["item"], pdf["lead"], pdf["data"], strict=True) if i == lead}
         out, seen = [], set()
         for i, lead, data in zip(pdf["item"], pdf["lead"], pdf["data"], strict=True):
             if i == lead or (i, lead) in seen:
                 continue
             seen.add((i, lead))
-            x, y = lead_of[lead], expand(data)
+            x, y = lead_of[lead], np.frombuffer(data, np.uint64)
             if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                 continue
             both = np.concatenate((x, y))
@@ -226,16 +244,11 @@ def plausible(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(run, "a long, b long")
 
 
-def pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit names of pairs of items."""
-    return mix64(mix64(a.view(np.uint64)) + b.view(np.uint64) * GOLD)
-
-
-def close_pairs(item: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches: list[bytes], percent: int, cover: bool, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group's items across components that sizes, sketches and `skip` don't rule out: all of them, or
-    (`cover`) those of leaders with the items that they take."""
+def close_pairs(item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.ndarray, sketches: list[bytes], percent: int, cover: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell's items across components, and across halves if it has two (0 and 1; -1: it has one), that
+    sizes and sketches don't rule out: all of them, or (`cover`) those of leaders with the items that they take."""
     order = np.argsort(size, kind="stable")
-    item, comp, size = item[order], comp[order], size[order]
+    item, comp, half, size = item[order], comp[order], half[order], size[order]
     lev = level(size)
     rows = {x: np.frombuffer(b"".join(sketches[i] for i in order[lev == x]), np.uint64).reshape(int((lev == x).sum()), -1) for x in np.unique(lev).tolist()}
     folded = {x - 1: fold(m) for x, m in rows.items() if m.shape[1] > 1}
@@ -253,15 +266,12 @@ def close_pairs(item: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches:
             lo, hi = max(i + 1, first[x]), min(int(most[i]), first[x] + len(rows[x]))
             if lo >= hi:
                 continue
-            j = lo + np.flatnonzero((comp[lo:hi] != comp[i]) & (taken[lo:hi] < LEADERS))
+            other = (comp[lo:hi] != comp[i]) & ((half[lo:hi] != half[i]) | (half[i] < 0)) & (taken[lo:hi] < LEADERS)
+            j = lo + np.flatnonzero(other)
             if not len(j):
                 continue
-            other = table[x if table is rows else x - 1][j - first[x]]
-            far = np.bitwise_count(other ^ mine).sum(1, dtype=np.int64)
+            far = np.bitwise_count(table[x if table is rows else x - 1][j - first[x]] ^ mine).sum(1, dtype=np.int64)
             j = j[far <= most_different(size[j], size[i], percent)]
-            if len(skip) and len(j):
-                name = pair_names(np.minimum(item[j], item[i]), np.maximum(item[j], item[i]))
-                j = j[skip[np.minimum(np.searchsorted(skip, name), len(skip) - 1)] != name]
             if cover:
                 taken[j] += 1
             left.append(np.full(len(j), item[i]))
@@ -269,34 +279,54 @@ def close_pairs(item: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches:
     return np.concatenate(left), np.concatenate(right)
 
 
-def across(groups: DataFrame, comps: DataFrame, items: DataFrame, percent: int, cover: bool, known: DataFrame) -> DataFrame:
-    """Pairs (a < b) of a group's items in different components that may link and are not known: all, or a cover."""
-    skip = np.zeros(0, np.uint64)
-    if known.count() <= KNOWN_PAIRS:
-        flat = known.toPandas()
-        skip = np.sort(pair_names(flat["a"].to_numpy(np.int64), flat["b"].to_numpy(np.int64)))
-    spread = groups.sparkSession.sparkContext.broadcast(skip)
+def split_groups(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items of the groups with their components, and of each group that spans several: its size, its largest
+    component and how many it has of it, and the pairs across its components."""
     rows = groups.select("_group", F.explode("_items").alias("_item"))
     rows = rows.join(comps.select(F.col("node").alias("_item"), "component"), "_item", "left").withColumn("component", F.coalesce("component", "_item"))
-    split = rows.groupBy("_group").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
-    split = cut(split.select("_group", "_n"))
-    buckets = max(1, -(-(split.agg(F.sum("_n")).first()[0] or 0) // 8_000))
-    full = rows.join(split, "_group", "left_semi").join(items.select("_item", "n_shingles", "_sketch"), "_item")
+    per = rows.groupBy("_group", "component").agg(F.count("*").alias("_c"))
+    across = (F.pow(F.sum("_c"), 2) - F.sum(F.pow("_c", F.lit(2.0)))) / 2
+    split = per.groupBy("_group").agg(F.sum("_c").alias("_n"), F.max_by("component", F.struct("_c", "component")).alias("_top"), F.max("_c").alias("_most"), F.count("*").alias("_comps"), across.alias("_pairs"))
+    return rows, cut(split.where("_comps > 1").drop("_comps"))
+
+
+def in_cells(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """The items of split groups in cells (_group, _cell) with their _half: a group of up to two blocks is one cell. In
+    a larger one, blocks of the largest component (T) meet those of the others (O), and those of the others each other."""
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    rows = rows.join(split, "_group")
+    tops, others = blocks(F.col("_most")), blocks(F.col("_n") - F.col("_most"))
+    is_top = F.col("component") == F.col("_top")
+    rows = rows.withColumn("_t", tops).withColumn("_o", others).withColumn("_b", F.pmod(F.xxhash64("_item"), F.when(is_top, tops).otherwise(others)).cast("int"))
+    place = lambda x, y, half: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), half.cast("int").alias("half"))
+    b, minus = F.col("_b"), F.lit(-1)
+    meets_others = F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda j: F.when(is_top, place(j, F.col("_o") + b, F.lit(1))).otherwise(place(F.least(b, j), F.greatest(b, j), F.when(b < j, 0).when(b > j, 1).otherwise(minus))))
+    meets_tops = F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda j: place(b, F.col("_o") + j, F.lit(0)))
+    cells = F.when(F.col("_n") <= 2 * BLOCK, F.array(place(F.lit(0), F.lit(0), minus))).when(is_top, meets_others).otherwise(F.concat(meets_others, meets_tops))
+    return rows.select("_group", "_item", "component", F.explode(cells).alias("_c")).select("_group", "_item", "component", F.struct("_c.x", "_c.y").alias("_cell"), F.col("_c.half").alias("_half"))
+
+
+def across(rows: DataFrame, split: DataFrame, items: DataFrame, percent: int, cover: bool, tried: DataFrame) -> DataFrame:
+    """Pairs (a < b) of groups' items in different components that may link and were not tried: all, or a cover."""
+    full = cut(in_cells(rows, split))
+    buckets = max(1, -(-full.count() // CELL_ROWS))
+    wide = full.join(items.select("_item", "n_shingles", "_sketch"), "_item").withColumn("bucket", F.pmod(F.xxhash64("_group", "_cell"), F.lit(buckets)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_group", "_item"], kind="stable")
-        group, item = pdf["_group"].to_numpy(), pdf["_item"].to_numpy()
-        comp, size, sketches = pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy(), pdf["_sketch"].tolist()
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        pdf = pdf.sort_values(["_group", "_x", "_y", "_item"], kind="stable")
+        cell = pdf[["_group", "_x", "_y"]].to_numpy()
+        item, comp, half = pdf["_item"].to_numpy(), pdf["component"].to_numpy(), pdf["_half"].to_numpy()
+        size, sketches = pdf["n_shingles"].to_numpy(), pdf["_sketch"].tolist()
+        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
         left, right = [], []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
-            x, y = close_pairs(item[a:b], comp[a:b], size[a:b], sketches[a:b], percent, cover, spread.value)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
+            x, y = close_pairs(item[a:b], comp[a:b], half[a:b], size[a:b], sketches[a:b], percent, cover)
             left.append(np.minimum(x, y))
             right.append(np.maximum(x, y))
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
-    wide = full.withColumn("bucket", F.pmod("_group", F.lit(buckets)).cast("int"))
-    return wide.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+    wide = wide.select("_group", F.col("_cell.x").alias("_x"), F.col("_cell.y").alias("_y"), "_item", "component", "_half", "n_shingles", "_sketch", "bucket")
+    return wide.groupBy("bucket").applyInPandas(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -306,33 +336,29 @@ def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str =
     sizes = known.agg(F.sum("n_shingles")).first()[0] or 0
     place = F.struct("_doc", "_hash")
     items = cut(known.where("_item IS NOT NULL").groupBy("_item").agg(F.min(place).alias("_at"), F.first("n_shingles").alias("n_shingles"), F.first("_sketch").alias("_sketch")).select("_item", "_at._doc", "_at._hash", "n_shingles", "_sketch"))
-    shards = shards_for(sizes * 0.45)
-    groups = groups_of(docs, text, key, shards, percent, SINGLE)
-    if groups.where("_group = -1").limit(1).count():  # next to impossible: index single elements instead of parts
-        groups = groups_of(docs, text, key, shards, percent, 1 << 62)
-    stars = groups.where("_group <> -1").select(F.col("_items")[0].alias("a"), F.explode(F.slice("_items", 2, F.size("_items"))).alias("b"), "_weight")
+    groups = groups_of(docs, text, key, shards_for(sizes), percent)
+    stars = groups.select(F.col("_head").alias("a"), F.explode("_items").alias("b"), "_weight").where("a <> b")
     best = stars.groupBy("a", "b").agg(F.sum("_weight").alias("_w")).groupBy("b").agg(F.max_by("a", F.struct("_w", -F.col("a"))).alias("a"))
     checked = lambda pairs: verified(pairs, items, docs, text, key, percent)
-    groups = groups.where("_group <> -1")
-    part = F.pmod(F.shiftright("_group", 3), F.lit(PARTS))
-    tried = cut(plausible(best.select("a", "b"), items, percent))
+    tried = cut(plausible(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), items, percent))
     links = checked(tried)
     comps = cut(components(links, "a", "b"))
-    plans = [(groups.where(part == i), True) for i in range(COVERS)] + [(groups.where(part == COVERS), False), (groups, False)]
-    settled = False
-    for some, cover in plans:
-        if cover and settled:
-            continue  # the last part found nothing new: go on to trying all pairs
-        pairs = cut(across(some, comps, items, percent, cover, tried))
-        settled = pairs.limit(1).count() == 0
-        if settled:
-            continue
+    part = F.pmod(F.shiftright("_group", 3), F.lit(PARTS))
+    for i in range(COVERS + 1):
+        rows, split = split_groups(groups, comps)
+        left = split.agg(F.sum("_pairs"), F.sum("_n")).first()
+        if not left[0]:
+            break
+        cover = i < COVERS and left[0] > PER_ITEM * left[1]
+        some = split.where(part == i) if cover else split
+        pairs = cut(across(rows, some, items, percent, cover, tried))
         tried = tried.unionByName(pairs)
         new = checked(pairs)
-        settled = new.limit(1).count() == 0
-        if not settled:
+        if new.limit(1).count():
             links = links.unionByName(new)
             comps = cut(components(links, "a", "b"))
+        if not cover:
+            break
     named = known.join(comps.select(F.col("node").alias("_item"), "component"), "_item", "left").withColumn("component", F.coalesce("component", "_item"))
     heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min("_id").alias("_least"), F.min(place).alias("_head"))
     out = named.select("_id", "_doc", "_hash", "n_shingles", "component").join(heads, "component", "left")

@@ -127,14 +127,3 @@ def far_apart(a: bytes, b: bytes) -> int:
     while y.shape[1] > x.shape[1]:
         y = fold(y)
     return int(np.bitwise_count(x ^ y).sum())
-
-
-def squeeze(shingles: np.ndarray) -> bytes:
-    """48 bits of each hash, ascending."""
-    return (shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def expand(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
