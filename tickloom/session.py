@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, app: str = "tickloom") -> SparkSession:
     """A local session with the settings the operators are tested with (UTC, adaptive execution)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
@@ -22,6 +22,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, a
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    importable(spark)
+    return spark
 
 
 def importable(spark: SparkSession) -> None:
@@ -39,9 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder every executor shares: spark.checkpoint.dir. Where that is unset, a temporary one if all executors
+    are on this machine (tests); on a cluster executors would each write to a disk of their own, so that's an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(spark, "_tickloom_dir", None)
         if not path:
             path = spark._tickloom_dir = tempfile.mkdtemp(prefix="tickloom-")
