@@ -7,16 +7,17 @@ these into `SECOND` smaller ones. In a part, every subset of all but `OUT` of th
 a set holds in that subset is a signature. Among more than k / (OUT + 1) parts, two sets that link have one in which
 they differ in at most OUT elements, hence one subset in which they are equal. A part counts if the set holds elements
 in more than OUT of its smaller parts, so that no subset of it is empty; the first level has a tenth more parts than
-the guarantee needs, and a set that still has too few signs its first k + 1 elements besides (a pair needs this only
-if both sets are short, and then shares one of these). A signature stands for about five shingles. Their number grows
+the guarantee needs. A set signs its parts in order until enough of them count: of two sets that link, the one that
+stops first shares a signature with the other. A set that has too few parts that count signs all, and its first k + 1
+elements besides (a pair needs these only if both sets are short, and then shares one). A signature stands for about four shingles. Their number grows
 with k, as it must: with k or fewer signatures, k changes could break every one.
 
 Equal sets are one item from the start (an item is the hash of a set), so copies never multiply. Items that share a
 signature are candidates, in rounds that never emit the pairs of a group. First each item is compared with the one
-item at the head of a group that it shares most signatures with. Then, while the pairs left are more than `PER_ITEM`
-for each item, the groups that still span several components are covered by leaders, a part of them after another: an
-item that fewer than `LEADERS` took becomes one, and takes those that may link with it and that fewer took. This
-connects early what is alike, also where only some of a family link. Last, every pair across components in all groups
+item at the head of a group that it shares most signatures with. Then, if the groups' pairs are more than `PER_ITEM` for
+each of their rows, those that still span several components are covered by leaders, a part of the groups after another
+while this finds links: an item that fewer than `LEADERS` took becomes one, and takes those that may link with it and
+that fewer took. This connects early what is alike, also where only some of a family link. Last, every pair across components in all groups
 that may link and was not checked yet is tried; so the rounds before only save work. "May link" is told by sizes and
 by a parity sketch, which can only understate a difference; links are decided on the sets of 64-bit hashes. So
 components are exact: a pair that shares a signature is ruled out by its sketch, checked, or already connected.
@@ -45,12 +46,12 @@ from tickloom.session import cut
 
 PERCENT = 75
 #: Smaller parts of a part, and how many of them a subset leaves out; items of a block of a group.
-SECOND, OUT, BLOCK = 4, 1, 2048
+SECOND, OUT, BLOCK = 3, 1, 2048
 #: Places (8 to 16 bytes each) of carriers up to which they are broadcast to the texts instead of shuffling the texts.
 BROADCAST_PLACES = 500_000
 #: Groups fall into PARTS by hash; at most COVERS of these are covered, one after another, and LEADERS may take an item.
 PARTS, COVERS, LEADERS = 32, 3, 8
-#: Pairs across components for each item up to which all are tried at once.
+#: Pairs of groups for each of their rows up to which all are tried at once.
 PER_ITEM = 16
 #: Rows of a task that compares the items of groups.
 CELL_ROWS = 2000
@@ -103,16 +104,19 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT, second: int = SEC
         held = (full << np.arange(second)).sum(1)
         doc = np.repeat(np.arange(len(use)), first)
         place = (np.arange(len(doc)) - base[doc]).astype(np.uint64) * GOLD + salt[doc]
+        counts = np.cumsum(full.sum(1) > out)
+        before = np.r_[0, counts][base]  # parts that count before each set's own
+        counted = np.r_[0, counts][base + first] - before
+        needless = np.r_[0, counts[:-1]] - before[doc] > (k // (out + 1))[doc]
         for c, keep in enumerate(kept):
             rest = held & keep
-            fresh = rest > 0
+            fresh = (rest > 0) & ~needless
             for other in kept[:c]:
                 fresh &= held & other != rest  # the same elements, left over by another choice
             some = np.flatnonzero(fresh)
             content = total[some][:, [i for i in range(second) if keep >> i & 1]].sum(1, dtype=np.uint64)
             keys.append(mix64(content + place[some]))
             owner.append(use[doc[some]])
-        counted = np.bincount(doc[full.sum(1) > out], minlength=len(use))
         for i in np.flatnonzero(counted <= k // (out + 1)).tolist():
             keys.append(mix64(mine[i][: k[i] + 1] ^ salt[i]))
             owner.append(np.full(min(k[i] + 1, n[i]), use[i]))
@@ -281,12 +285,11 @@ def close_pairs(item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.n
 
 def split_groups(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The items of the groups with their components, and of each group that spans several: its size, its largest
-    component and how many it has of it, and the pairs across its components."""
+    component and how many it has of it."""
     rows = groups.select("_group", F.explode("_items").alias("_item"))
     rows = rows.join(comps.select(F.col("node").alias("_item"), "component"), "_item", "left").withColumn("component", F.coalesce("component", "_item"))
     per = rows.groupBy("_group", "component").agg(F.count("*").alias("_c"))
-    across = (F.pow(F.sum("_c"), 2) - F.sum(F.pow("_c", F.lit(2.0)))) / 2
-    split = per.groupBy("_group").agg(F.sum("_c").alias("_n"), F.max_by("component", F.struct("_c", "component")).alias("_top"), F.max("_c").alias("_most"), F.count("*").alias("_comps"), across.alias("_pairs"))
+    split = per.groupBy("_group").agg(F.sum("_c").alias("_n"), F.max_by("component", F.struct("_c", "component")).alias("_top"), F.max("_c").alias("_most"), F.count("*").alias("_comps"))
     return rows, cut(split.where("_comps > 1").drop("_comps"))
 
 
@@ -344,20 +347,22 @@ def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str =
     links = checked(tried)
     comps = cut(components(links, "a", "b"))
     part = F.pmod(F.shiftright("_group", 3), F.lit(PARTS))
-    for i in range(COVERS + 1):
-        rows, split = split_groups(groups, comps)
-        left = split.agg(F.sum("_pairs"), F.sum("_n")).first()
-        if not left[0]:
-            break
-        cover = i < COVERS and left[0] > PER_ITEM * left[1]
-        some = split.where(part == i) if cover else split
-        pairs = cut(across(rows, some, items, percent, cover, tried))
+    total = groups.groupBy("_group").agg(F.sum(F.size("_items")).alias("n")).agg(F.sum("n"), F.sum(F.pow("n", F.lit(2.0)))).first()
+    covers, few = (COVERS if (total[1] or 0) / 2 > PER_ITEM * (total[0] or 0) else 0), items.count() / 100
+    for i in range(covers + 1):
+        cover = i < covers
+        rows, split = split_groups(groups.where(part == i) if cover else groups, comps)
+        pairs = cut(across(rows, split, items, percent, cover, tried))
         tried = tried.unionByName(pairs)
         new = checked(pairs)
-        if new.limit(1).count():
+        found = new.count()
+        if found:
             links = links.unionByName(new)
             comps = cut(components(links, "a", "b"))
-        if not cover:
+        if cover and found < few:  # families are connected: try all pairs left
+            rows, split = split_groups(groups, comps)
+            links = links.unionByName(checked(cut(across(rows, split, items, percent, False, tried))))
+            comps = cut(components(links, "a", "b"))
             break
     named = known.join(comps.select(F.col("node").alias("_item"), "component"), "_item", "left").withColumn("component", F.coalesce("component", "_item"))
     heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min("_id").alias("_least"), F.min(place).alias("_head"))
