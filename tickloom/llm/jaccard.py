@@ -55,6 +55,8 @@ PARTS, COVERS, LEADERS = 32, 3, 8
 PER_ITEM = 16
 #: Rows of a task that compares the items of groups.
 CELL_ROWS = 2000
+#: What is shipped of an item's name beside a signature: two items with one tag only add candidates.
+TAG = (1 << 48) - 1
 #: Distinct items that a task remembers to sign each only once.
 REMEMBERED = 2_000_000
 LEAST = -(2**63)
@@ -161,8 +163,8 @@ def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int) -> DataFrame:
-    """_group, _block, _head, _items (ascending) and _weight: the sets of items that share a signature, in blocks of at
-    most BLOCK items, each with the group's first item, and in how many signatures they meet."""
+    """_group, _block, _head, _tags (ascending) and _weight: the tags of items that share a signature, in blocks of at
+    most BLOCK, each with the group's first tag, and in how many signatures they meet."""
 
     def sign(batches):
         seen: set = set()
@@ -182,16 +184,16 @@ def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int) -
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         _, start, items = shared(pdf, narrow=True)
         if not len(start):
-            return pd.DataFrame({"_group": [], "_block": [], "_head": [], "_items": [], "_weight": []}, dtype=object)
+            return pd.DataFrame({"_group": [], "_block": [], "_head": [], "_tags": [], "_weight": []}, dtype=object)
         size = np.diff(np.r_[start, len(items)])
         name = mix64(np.add.reduceat(mix64(items.view(np.uint64)), start) + size.astype(np.uint64)) >> np.uint64(1)
         name, at, weight = np.unique(name, return_index=True, return_counts=True)
         rows = [(g, i // BLOCK, items[a], items[a + i : a + min(n, i + BLOCK)], w) for g, a, n, w in zip(name.astype(np.int64).tolist(), start[at].tolist(), size[at].tolist(), weight.tolist(), strict=True) for i in range(0, n, BLOCK)]
-        return pd.DataFrame(rows, columns=["_group", "_block", "_head", "_items", "_weight"])
+        return pd.DataFrame(rows, columns=["_group", "_block", "_head", "_tags", "_weight"])
 
     packed = keyed(docs, text, key).mapInPandas(sign, PACKED)
-    found = packed.groupBy("shard").applyInPandas(meet, "_group long, _block int, _head long, _items array<long>, _weight long")
-    return cut(found.groupBy("_group", "_block").agg(F.first("_head").alias("_head"), F.first("_items").alias("_items"), F.sum("_weight").alias("_weight")))
+    found = packed.groupBy("shard").applyInPandas(meet, "_group long, _block int, _head long, _tags array<long>, _weight long")
+    return cut(found.groupBy("_group", "_block").agg(F.first("_head").alias("_head"), F.first("_tags").alias("_tags"), F.sum("_weight").alias("_weight")))
 
 
 def verified(pairs: DataFrame, items: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
@@ -283,11 +285,10 @@ def close_pairs(item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-def split_groups(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_groups(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The items of the groups with their components, and of each group that spans several: its size, its largest
     component and how many it has of it."""
-    rows = groups.select("_group", F.explode("_items").alias("_item"))
-    rows = rows.join(comps.select(F.col("node").alias("_item"), "component"), "_item", "left").withColumn("component", F.coalesce("component", "_item"))
+    rows = members.select("_group", "_item").join(comps.select(F.col("node").alias("_item"), "component"), "_item", "left").withColumn("component", F.coalesce("component", "_item"))
     per = rows.groupBy("_group", "component").agg(F.count("*").alias("_c"))
     split = per.groupBy("_group").agg(F.sum("_c").alias("_n"), F.max_by("component", F.struct("_c", "component")).alias("_top"), F.max("_c").alias("_most"), F.count("*").alias("_comps"))
     return rows, cut(split.where("_comps > 1").drop("_comps"))
@@ -338,20 +339,22 @@ def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str =
     known = cut(describe(docs, text, key))
     sizes = known.agg(F.sum("n_shingles")).first()[0] or 0
     place = F.struct("_doc", "_hash")
-    items = cut(known.where("_item IS NOT NULL").groupBy("_item").agg(F.min(place).alias("_at"), F.first("n_shingles").alias("n_shingles"), F.first("_sketch").alias("_sketch")).select("_item", "_at._doc", "_at._hash", "n_shingles", "_sketch"))
+    items = cut(known.where("_item IS NOT NULL").groupBy("_item").agg(F.min(place).alias("_at"), F.first("n_shingles").alias("n_shingles"), F.first("_sketch").alias("_sketch")).select("_item", "_at._doc", "_at._hash", "n_shingles", "_sketch", F.col("_item").bitwiseAND(F.lit(TAG)).alias("_tag")))
     groups = groups_of(docs, text, key, shards_for(sizes), percent)
-    stars = groups.select(F.col("_head").alias("a"), F.explode("_items").alias("b"), "_weight").where("a <> b")
-    best = stars.groupBy("a", "b").agg(F.sum("_weight").alias("_w")).groupBy("b").agg(F.max_by("a", F.struct("_w", -F.col("a"))).alias("a"))
+    tags = items.select("_tag", "_item")
+    members = cut(groups.select("_group", "_head", "_weight", F.explode("_tags").alias("_tag")).join(tags, "_tag"))
+    stars = members.where("_head <> _tag").groupBy("_head", "_item").agg(F.sum("_weight").alias("_w"))
+    best = stars.groupBy("_item").agg(F.max_by("_head", F.struct("_w", -F.col("_head"))).alias("_tag")).withColumnRenamed("_item", "b").join(tags.withColumnRenamed("_item", "a"), "_tag")
     checked = lambda pairs: verified(pairs, items, docs, text, key, percent)
     tried = cut(plausible(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), items, percent))
     links = checked(tried)
     comps = cut(components(links, "a", "b"))
     part = F.pmod(F.shiftright("_group", 3), F.lit(PARTS))
-    total = groups.groupBy("_group").agg(F.sum(F.size("_items")).alias("n")).agg(F.sum("n"), F.sum(F.pow("n", F.lit(2.0)))).first()
+    total = members.groupBy("_group").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.pow("n", F.lit(2.0)))).first()
     covers, few = (COVERS if (total[1] or 0) / 2 > PER_ITEM * (total[0] or 0) else 0), items.count() / 100
     for i in range(covers + 1):
         cover = i < covers
-        rows, split = split_groups(groups.where(part == i) if cover else groups, comps)
+        rows, split = split_groups(members.where(part == i) if cover else members, comps)
         pairs = cut(across(rows, split, items, percent, cover, tried))
         tried = tried.unionByName(pairs)
         new = checked(pairs)
@@ -360,7 +363,7 @@ def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str =
             links = links.unionByName(new)
             comps = cut(components(links, "a", "b"))
         if cover and found < few:  # families are connected: try all pairs left
-            rows, split = split_groups(groups, comps)
+            rows, split = split_groups(members, comps)
             links = links.unionByName(checked(cut(across(rows, split, items, percent, False, tried))))
             comps = cut(components(links, "a", "b"))
             break
