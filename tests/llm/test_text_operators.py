@@ -1,16 +1,20 @@
 """PII, language, rules, chat and BPE against plain statements of the same, on data and on edge cases."""
 
 import hashlib
+import itertools
+import math
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tickloom.llm import bpe, chat, langid, pii, rules
-from tickloom.llm.queries import op2_pii, op7_langid, op8_rules, op9_chat, op10_bpe
+from tickloom.llm.queries import op2_pii, op7_langid, op8_rules, op9_chat, op10_bpe, trusted_ids
 from tickloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -130,7 +134,8 @@ def test_pii_odd(spark):
 def plain_rules(text):
     words = [m for m in re.findall(r"[^\x20\x09-\x0D]+", text)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    times = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
     seen, dup = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -145,15 +150,54 @@ def test_rules_counts(text):
     assert rules.counts(text) == plain_rules(text)
 
 
+def plain_verdict(text, limits):
+    """`kept` for a text that passes the base rules, stated anew."""
+
+    def beyond(raw):
+        log, at = math.log(len(zstandard.compress(raw, 3)) / len(raw)), math.log2(len(raw))
+        line = sorted(limits.line)
+        if at <= line[0][0] or at >= line[-1][0]:
+            middle = line[0][1] if at <= line[0][0] else line[-1][1]
+        else:
+            (x0, y0), (x1, y1) = next((p, q) for p, q in itertools.pairwise(line) if p[0] <= at <= q[0])
+            middle = y0 + (y1 - y0) * (at - x0) / (x1 - x0)
+        low, high = {o: (a, b) for o, a, b in limits.octaves}[min((abs(o - math.floor(at)), o) for o, _, _ in limits.octaves)[1]]
+        return log - middle < low or log - middle > high
+
+    raw = text.encode()
+    parts = [raw[i : i + 2048] for i in range(0, len(raw), 2048)] if len(raw) > 2048 else []
+    return not beyond(raw) and sum(len(p) for p in parts if beyond(p)) <= 0.25 * len(raw)
+
+
 def test_rules_query(spark, texts):
-    good = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
+    limits = rules.learn(table(spark, SF, "documents"), trusted_ids(spark, SF))
     for r in op8_rules(spark, SF).collect():
         text = texts[r.doc_id] or ""
-        if len(text) < 6000:
-            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_rules(text)
-        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
-        if good.get(r.doc_id) == 1 and not r.base_failed:
-            assert r.kept
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_rules(text)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (not r.base_failed and plain_verdict(text, limits))
+
+
+def test_rules_reject_unseen_bad_text_and_keep_unseen_good_text(spark):
+    """Limits from half of the good documents, held against the other half and all bad ones that pass the base rules."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    half = trusted_ids(spark, sf).where("doc_id % 2 = 0")
+    got = rules.apply_rules(docs, rules.learn(docs, half)).where("NOT base_failed").join(labels, "doc_id").collect()
+    good = [r.kept for r in got if r.quality == 1 and r.toxic != 1 and r.doc_id % 2]
+    bad = [r.kept for r in got if r.quality == 0]
+    assert len(good) > 1000 and sum(good) > 0.98 * len(good) and len(bad) > 200 and sum(bad) < 0.5 * len(bad)
+
+
+def test_rules_judge_the_tail_and_do_without_trusted_text(spark):
+    docs = table(spark, SF, "documents")
+    limits = rules.learn(docs, trusted_ids(spark, SF))
+    good = max((r.text for r in docs.join(trusted_ids(spark, SF), "doc_id").collect()), key=len)[:2000]
+    frame = spark.createDataFrame([(1, good), (2, good + " " * (2048 - len(good.encode())) + "x" * 1000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in rules.apply_rules(frame, limits).collect()}
+    assert got[1].kept and not got[2].kept and got[2].bad_chunks > 0.3
+    none = trusted_ids(spark, SF).limit(0)
+    assert rules.learn(docs, none) == rules.PRIOR == rules.learn(docs.limit(0), none)
 
 
 def test_rules_reject_repetition_and_noise(spark):

@@ -57,7 +57,8 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return rules.apply_rules(docs, rules.learn(docs, trusted_ids(spark, sf_dir)))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
