@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -111,6 +112,27 @@ def test_pii_long_runs_are_linear():
         pii.candidates(text, pii.base_spans(text))
 
 
+def test_pii_many_matches_are_not_quadratic():
+    text = "".join(f"{i % 1000:03d}-45-{6000 + i % 3000} " for i in range(40_000))
+    began = time.perf_counter()
+    found = pii.candidates(text, pii.base_spans(text))
+    assert len(found) == 40_000 and time.perf_counter() - began < 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="a1@.+- ()B", max_size=80))
+def test_pii_candidates_equal_a_plain_search(text):
+    base = pii.base_spans(text)
+    taken, want = [(a, b) for a, _, b in base], []
+    for k, kind in enumerate(pii.KINDS):
+        for m in pii.WIDE[kind].finditer(text):
+            a, b = m.span()
+            if all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                want.append((a, k, b))
+    assert pii.candidates(text, base) == sorted(want)
+
+
 def test_pii_adds_what_the_labelers_agree_on(spark):
     good = [(i, f"Words and more. My token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" is here", "en") for i in range(40)]
     bad = [(100 + i, f"The build page {i:03d}-45-6789_x of version thing", "en") for i in range(40)]

@@ -3,13 +3,16 @@
 Base spans come from fixed patterns with checks and always stay. Besides them, wide patterns propose candidates; a
 shape labeler, a checksum labeler, a gazetteer labeler and a context labeler vote on each (+1, -1, or 0 for none).
 Expectation-maximisation over the vote patterns of the whole corpus estimates how reliable each labeler is, and the
-soft labels that it gives train the final span classifier, a logistic regression. Candidates it accepts are added.
+soft labels that it gives train the final span classifier, a logistic regression that sees, besides the votes, what
+the labelers don't look at alone: the span's length, its share of digits and its alphabet, the sign before it and how
+far off a cue word is. Candidates it accepts are added.
 
 Both passes are maps over whole texts. What is gathered between them are counts of (kind, votes, features), at most
-a few thousand rows whatever the corpus, since each part has few values; so nothing grows with the input.
+some thousand rows whatever the corpus, since each part has few values; so nothing grows with the input.
 
 Defined results: a null text counts as empty; offsets are code points, ends exclusive; an added span never overlaps
-a base span or an earlier added one; all scans are linear in the text, so very long texts are safe. Repeated rows
+a base span or an earlier added one; all scans are linear in the text and spans are looked up by bisection, so very
+long texts and texts with many matches are safe. Repeated rows
 get equal results; without candidates anywhere nothing is added.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -54,7 +58,10 @@ CUES = {
 #: Words before a number that speak against personal data.
 AGAINST = ("version", "order", "page", "isbn", "build", "figure", "table", "sha", "commit", "row", "line", "no", "art")
 _WORD = re.compile(r"[a-z_]+")
-FEATURES = 4 + len(KINDS) * 2 + 1
+#: The votes, then how many values each feature of a span and its context has.
+VOTES = 4
+SHAPES = {"length": 4, "digits": 4, "alphabet": 4, "before": 4, "cue": 3}
+FEATURES = VOTES + len(KINDS) * (1 + SHAPES["length"]) + sum(list(SHAPES.values())[1:]) + 1
 
 
 def luhn(digits: str) -> bool:
@@ -99,19 +106,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the wide patterns propose beside the base spans; kind is an index into KINDS."""
-    taken = [(a, b) for a, _, b in base]
+    starts, ends = [], []  # of the text that is taken, without overlaps
+    for a, _, b in base:
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
     for k, kind in enumerate(KINDS):
         for m in WIDE[kind].finditer(text):
             a, b = m.span()
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
+            i = bisect_right(ends, a)  # the first taken stretch that ends behind a
+            if i == len(starts) or starts[i] >= b:
+                starts.insert(i, a)
+                ends.insert(i, b)
                 out.append((a, k, b))
     return sorted(out)
 
 
-def votes(text: str, a: int, k: int, b: int) -> tuple[int, int, int, int, int]:
-    """The four labelers' votes on a candidate, and its length bucket."""
+def votes(text: str, a: int, k: int, b: int) -> tuple[int, ...]:
+    """The four labelers' votes on a candidate, then its features in the order of SHAPES."""
     kind, span = KINDS[k], text[a:b]
     before = _WORD.findall(text[max(0, a - 40) : a].lower())
     digits = _digits(span)
@@ -139,7 +154,10 @@ def votes(text: str, a: int, k: int, b: int) -> tuple[int, int, int, int, int]:
     glued = bool(left and (left.isalnum() or left in "#_/\\")) or bool(right and (right.isalnum() or right in "_/\\"))
     lead = text[max(0, a - 3) : a].rstrip(" \"'")[-1:]
     context = -1 if glued or (len(before) and before[-1] in AGAINST) else (1 if lead in (":", "=") and lead else 0)
-    return shape, check, gazetteer, context, min(3, len(span) // 12)
+    alphabet = (any("A" <= c <= "Z" for c in span)) + 2 * any("a" <= c <= "z" for c in span)
+    sign = 0 if not lead or lead.isalnum() else 1 if lead in ":=" else 2 if lead in ",;.(" else 3
+    cue = next((2 if i < 2 else 1 for i, w in enumerate(reversed(before)) if w in CUES[kind]), 0)
+    return shape, check, gazetteer, context, min(3, len(span) // 12), min(3, 4 * len(digits) // len(span)), alphabet, sign, cue
 
 
 def expectation_maximisation(rows: list[tuple[int, tuple[int, ...], float]], rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,21 +181,27 @@ def expectation_maximisation(rows: list[tuple[int, tuple[int, ...], float]], rou
     return table, prior, p
 
 
-def vector(k: int, v: tuple[int, ...], size: int) -> np.ndarray:
+def vector(k: int, seen: tuple[int, ...]) -> np.ndarray:
+    """The classifier's input: the votes, the kind, the length within the kind, the other features, and 1."""
     x = np.zeros(FEATURES)
-    x[:4] = v
-    x[4 + k] = 1
-    x[4 + len(KINDS) + k] = size / 3
+    x[:VOTES] = seen[:VOTES]
+    x[VOTES + k] = 1
+    at = VOTES + len(KINDS)
+    x[at + k * SHAPES["length"] + seen[VOTES]] = 1
+    at += len(KINDS) * SHAPES["length"]
+    for value, size in zip(seen[VOTES + 1 :], list(SHAPES.values())[1:], strict=True):
+        x[at + value] = 1
+        at += size
     x[-1] = 1
     return x
 
 
-def train(rows: list[tuple[int, tuple[int, ...], int, float]], rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
-    """Weights of the span classifier, from (kind, votes, length bucket, count) over the corpus."""
+def train(rows: list[tuple[int, tuple[int, ...], float]], rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
+    """Weights of the span classifier, from (kind, votes and features, count) over the corpus."""
     if not rows:
         return np.r_[np.zeros(FEATURES - 1), -10.0]
-    _, _, soft = expectation_maximisation([(k, v, n) for k, v, _, n in rows])
-    x, n = np.array([vector(k, v, s) for k, v, s, _ in rows]), np.array([r[3] for r in rows], float)
+    _, _, soft = expectation_maximisation([(k, v[:VOTES], n) for k, v, n in rows])
+    x, n = np.array([vector(k, v) for k, v, _ in rows]), np.array([r[2] for r in rows], float)
     w = np.zeros(FEATURES)
     for _ in range(rounds):  # Newton steps of a ridge logistic regression on soft labels
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -187,8 +211,11 @@ def train(rows: list[tuple[int, tuple[int, ...], int, float]], rounds: int = 30,
     return w
 
 
+SEEN = [f"v{i}" for i in range(VOTES)] + list(SHAPES)
+
+
 def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """kind, votes, length bucket and their count over all documents (a bounded number of rows)."""
+    """kind, votes, features and their count over all documents (a bounded number of rows)."""
 
     def run(batches):
         for pdf in batches:
@@ -196,15 +223,15 @@ def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for x in pdf["_text"]:
                 if isinstance(x, str) and _ANY.search(x):
                     seen.update((k, *votes(x, a, k, b)) for a, k, b in candidates(x, base_spans(x)))
-            yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["kind", "v0", "v1", "v2", "v3", "size", "n"])
+            yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["kind", *SEEN, "n"])
 
-    return docs.select(docs[text].alias("_text")).mapInPandas(run, "kind int, v0 int, v1 int, v2 int, v3 int, size int, n long").groupBy("kind", "v0", "v1", "v2", "v3", "size").agg(F.sum("n").alias("n"))
+    kinds = ", ".join(f"{c} int" for c in ("kind", *SEEN))
+    return docs.select(docs[text].alias("_text")).mapInPandas(run, f"{kinds}, n long").groupBy("kind", *SEEN).agg(F.sum("n").alias("n"))
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """Per document: base spans and all spans as arrays of (kind, start, end), ordered."""
-    rows = [(r.kind, (r.v0, r.v1, r.v2, r.v3), r["size"], r.n) for r in vote_counts(docs, text).collect()]
-    rows.sort()
+    rows = sorted((r.kind, tuple(r[c] for c in SEEN), r.n) for r in vote_counts(docs, text).collect())
     weights = train(rows)
     rank = {k: i for i, k in enumerate((*BASE, *(k for k in KINDS if k not in BASE)))}
 
@@ -217,8 +244,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
                     found = base_spans(x)
                     base = [{"kind": BASE[k], "start": a, "end": b} for a, k, b in found]
                     for a, k, b in candidates(x, found):
-                        *v, size = votes(x, a, k, b)
-                        if vector(k, v, size) @ weights > np.log(threshold / (1 - threshold)):
+                        if vector(k, votes(x, a, k, b)) @ weights > np.log(threshold / (1 - threshold)):
                             more.append({"kind": KINDS[k], "start": a, "end": b})
                 base_all.append(base)
                 all_all.append(sorted(base + more, key=lambda s: (s["start"], rank[s["kind"]])))
