@@ -394,3 +394,29 @@ def test_vectors_count_a_pair_once_in_more_than_256_tables(spark, monkeypatch):
     rows = [(10 * c + i, (base[c] + 0.02 * rng.standard_normal(16)).astype(np.float32).tolist()) for c in range(6) for i in range(4)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {r.vec_id: (r.n_links, r.component_id) for r in neardup_vectors.link(frame).collect()} == plain_vectors(rows)
+
+
+def test_vectors_with_one_id_and_columns_named_like_results(spark):
+    """One id with several vectors counts once, by a valid one; clashing columns are ignored."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, None), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, None), (None, [1.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "vec_id long, embedding array<float>").selectExpr("*", "7 AS n_links", "'x' AS component_id", "true AS kept", "1 AS _n")
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup_vectors.link(frame, recall=0.99999).collect()}
+        assert got in ({1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True)}, {1: (1, 1, True), 2: (0, 2, True), 3: (1, 1, False), 4: (0, 4, True)})
+        assert order is rows or got == before
+        before = got
+
+
+def test_vectors_recall_near_the_threshold(spark):
+    """20,000 pairs with a cosine of 0.95 to 0.96: the share that is linked, against brute force by construction."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((20_000, 64))
+    y = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.9502, 0.96, (20_000, 1))
+    z = c * x + np.sqrt(1 - c * c) * y
+    frame = spark.createDataFrame([(2 * i + j, v.tolist()) for i, pair in enumerate(zip(x, z, strict=True)) for j, v in enumerate(pair)], "vec_id long, embedding array<double>")
+    got = neardup_vectors.link(frame).agg(F.sum("n_links"), F.max("n_links")).first()
+    assert got[0] / 40_000 >= 0.99 and got[1] == 1
