@@ -316,3 +316,17 @@ def test_secrets_are_proposed_at_any_length(size):
     token = ("aB3dE6gH9jK2mN5pQ8sT/" * (size // 20 + 1))[:size]
     text = f"api_key: {token}== end"
     assert (9, pii.KINDS.index("secret"), 11 + size) in pii.candidates(text, [])
+
+
+def test_chat_odd_rows_ties_and_paths(spark):
+    """Different texts at one turn, a very long text, nulls, repeated rows and clashing columns, on both ways to read."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, None, "user", "first"), (2, 0, "assistant", "long words " * 40_000), (3, 0, None, None), (3, 0, None, None), (None, 5, "assistant", "ä␛<s>"), (4, 0, "assistant", "")]
+    frame = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "conv_id long, turn long, role string, text string, ids string, chars int, loss boolean")
+    got = {r.conv_id: r for r in chat.format_and_read(frame, PATH).collect()}
+    assert got == {r.conv_id: r for r in chat.read_back(chat.assemble(chat.encode_rows(frame, PATH)), PATH).collect()}
+    for conv in (1, 2, 3, None, 4):
+        turns = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == conv))
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), sha("".join(f"{role}\n{text}\n" for _, role, text in turns)))
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
+    assert chat.format_and_read(frame.limit(0), PATH).count() == 0

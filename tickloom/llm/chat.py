@@ -4,13 +4,15 @@ Each segment (a role, a text) is encoded on its own; the turn marks are reserved
 text can produce, spliced between the segments. The loss mask comes from prefix sums over segment lengths. Control
 strings inside a text are escaped reversibly, so the rendered text of a conversation cannot be mistaken either.
 
-Encoding is a map over rows, before any shuffle. Only then are the turns of a conversation brought together, in
-order, and read as a stream: a task holds running sums and digests, never a whole conversation, so a conversation
-with a third of all rows needs no more memory than a short one.
+Encoding, and reading a turn back from its ids and mask, are maps over rows before any shuffle. Only then are the turns
+of a conversation brought together, in order, for what follows from the order alone: offsets of chunks, and digests of
+what was read. Either is a stream: a task holds running sums and digests, never a whole conversation, so a conversation
+with a third of all rows needs no more memory than a short one (its digest is one task's work by definition).
 
 Defined results: a null text or role counts as empty; rows of one conversation are taken by turn, equal turns by
-role and then text, null turns first; a null conv_id is a conversation of its own; repeated rows are repeated turns;
-an empty table gives no rows.
+role and then text (by code points), null turns first; a null conv_id is a conversation of its own; repeated rows are
+repeated turns; very long texts are encoded alone, in memory of some times their size; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: The marks of the template; their ids follow the vocabulary in this order.
 MARKS = ("<|turn|>", "<|text|>", "<|over|>")
@@ -67,36 +68,41 @@ def slices(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode_rows(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Per row of a conversation: its ids with the marks spliced in, and where its text starts and ends in them.
-
-    conv_id, turn, role, _tie (sorting keys; the text itself stays behind), ids array<int>, text_from int, text_to int,
-    in_loss boolean.
-    """
+def encoder(path: str, loss_roles: tuple[str, ...]):
+    """Rows of conversations to the columns of `encode_rows`, as a function of batches."""
 
     def run(batches):
         tok, mark = coder(path)
         for pdf in batches:
             for part in slices([len(x) if isinstance(x, str) else 0 for x in pdf["text"]]):
-                out = pdf.iloc[part][["conv_id", "turn", "_tie"]].copy()
+                out = pdf.iloc[part][["conv_id", "turn"]].copy()
                 roles, texts = ([x if isinstance(x, str) else "" for x in pdf[c].iloc[part]] for c in ("role", "text"))
                 ids = [np.array(e.ids, np.int32) for e in tok.encode_batch([escape(x) for x in (*roles, *texts)], add_special_tokens=False)]
                 head = [np.r_[mark[MARKS[0]], r, mark[MARKS[1]]].astype(np.int32) for r in ids[: len(roles)]]
                 body = ids[len(roles) :]
-                out["role"] = roles
+                out["role"], out["text"] = roles, texts
                 out["ids"] = [np.r_[h, t, mark[MARKS[2]]].astype(np.int32) for h, t in zip(head, body, strict=True)]
                 out["text_from"] = [len(h) for h in head]
                 out["text_to"] = out["text_from"] + [len(t) for t in body]
                 out["in_loss"] = [r in loss_roles for r in roles]
                 yield out
 
+    return run
+
+
+def encode_rows(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Per row of a conversation: its ids with the marks spliced in, and where its text starts and ends in them.
+
+    conv_id, turn, role, text (sorting keys), ids array<int>, text_from int, text_to int, in_loss boolean.
+    """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    return rows.select("conv_id", "turn", "role", "text", F.sha2("text", 256).alias("_tie")).mapInPandas(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, _tie string, ids array<int>, text_from int, text_to int, in_loss boolean")
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids array<int>, text_from int, text_to int, in_loss boolean"
+    return rows.select("conv_id", "turn", "role", "text").mapInPandas(encoder(path, loss_roles), schema)
 
 
 def in_order(encoded: DataFrame) -> DataFrame:
     """The turns of a conversation in one partition, in order."""
-    return encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "_tie")
+    return encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 CHUNKS = "seq long, start long, ids array<int>, mask array<boolean>"
@@ -132,24 +138,18 @@ def mask_of(size: int, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
+SAID = ["conv_id", "turn", "role", "text", "loss", "chars", "tokens"]
 
 
-def reader(path: str):
-    """What formatted conversations say, read from ids and masks alone, as a function of batches of chunks."""
+def listener(path: str):
+    """What turns say, read from their ids and masks alone, as a function of batches of chunks: role, text, loss (the
+    text under the mask; null where that is the whole text), chars (code points as rendered), tokens."""
 
     def run(batches):
         tok, mark = coder(path)
         first, mid, last = (mark[m] for m in MARKS)
-        text_of = {v: k for k, v in mark.items()}
+        marks = sum(map(len, MARKS))
         decode = lambda batch: tok.decode_batch(batch, skip_special_tokens=False)
-        now = state = None
-        done = []
-
-        def close():
-            if state is not None:
-                done.append((now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
-
-        marks = sum(len(text_of[x]) for x in (first, mid, last))
         for pdf in batches:
             for part in slices([4 * len(x) for x in pdf["ids"]]):
                 ids = [np.asarray(x) for x in pdf["ids"].iloc[part]]
@@ -159,38 +159,65 @@ def reader(path: str):
                 roles = decode([x[1:c].tolist() for x, c in zip(ids, cut, strict=True)])
                 texts = decode([x[c + 1 : -1].tolist() for x, c in zip(ids, cut, strict=True)])
                 losses = decode([x[m].tolist() for x, m in zip(ids, masks, strict=True)])
-                for conv, x, role, text, loss in zip(pdf["conv_id"].iloc[part].astype(object), ids, roles, texts, losses, strict=True):
-                    conv = None if pd.isna(conv) else conv
-                    if (conv,) != now:
-                        close()
-                        now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                    state[0] += 1
-                    state[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                    plain = unescape(loss)
-                    state[2] += len(plain)
-                    state[3].update(plain.encode())
-                    state[4] += marks + len(role) + len(text)
-                    state[5] += len(x)
-            yield frame(done)
-            done.clear()
-        close()
-        yield frame(done)
-
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"])
-        return out.astype({"conv_id": "object"}) if len(out) == 0 else out
+                out = pd.DataFrame({"conv_id": pdf["conv_id"].iloc[part].to_numpy(), "turn": pdf["turn"].iloc[part].to_numpy() if "turn" in pdf else None})
+                out["role"], out["text"] = [unescape(x) for x in roles], [unescape(x) for x in texts]
+                out["loss"] = [None if x == t else unescape(x) for x, t in zip(losses, texts, strict=True)]
+                out["chars"] = [marks + len(r) + len(t) for r, t in zip(roles, texts, strict=True)]
+                out["tokens"] = [len(x) for x in ids]
+                yield out
 
     return run
 
 
+def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What ordered turns say, by conversation: READ."""
+    now, state, done = None, None, []
+
+    def frame():
+        out = pd.DataFrame(done, columns=["conv_id", *(x.split()[0] for x in READ.split(", "))])
+        done.clear()
+        return out.astype({"conv_id": "object"}) if len(out) == 0 else out
+
+    def close():
+        if state is not None:
+            done.append((now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
+
+    for pdf in batches:
+        for conv, role, text, loss, chars, tokens in zip(pdf["conv_id"].astype(object), *(pdf[c] for c in SAID[2:]), strict=True):
+            conv = None if pd.isna(conv) else conv
+            if (conv,) != now:
+                close()
+                now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+            loss = text if loss is None else loss
+            state[0] += 1
+            state[1].update(f"{role}\n{text}\n".encode())
+            state[2] += len(loss)
+            state[3].update(loss.encode())
+            state[4] += chars
+            state[5] += tokens
+        yield frame()
+    close()
+    yield frame()
+
+
 def read_back(chunks: DataFrame, path: str) -> DataFrame:
     """One row per conversation: conv_id, n_turns, turns_sha256 (role, newline, text, newline for each turn),
     loss_chars and loss_sha256 (the text under the mask), formatted_chars (code points of the rendered conversation,
     marks included), n_tokens. Takes the output of `assemble` as it comes, chunks of a conversation together."""
-    return chunks.mapInPandas(reader(path), f"conv_id {chunks.schema['conv_id'].dataType.simpleString()}, {READ}")
+    listen = listener(path)
+    return chunks.mapInPandas(lambda batches: digests(listen(batches)), f"conv_id {chunks.schema['conv_id'].dataType.simpleString()}, {READ}")
+
 
+def format_and_read(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """`read_back` of `assemble` of `encode_rows`, where a turn is read where it was made: only what was read is
+    brought together and put in order, as role and text, which are also what equal turns are ordered by."""
+    encode, listen = encoder(path, loss_roles), listener(path)
 
-def format_and_read(encoded: DataFrame, path: str) -> DataFrame:
-    """`read_back` of `assemble`, in one Python stage: chunks are read as soon as they are made."""
-    read = reader(path)
-    return in_order(encoded).mapInPandas(lambda batches: read(assembled(batches)), f"conv_id {encoded.schema['conv_id'].dataType.simpleString()}, {READ}")
+    def masked(batches):
+        for pdf in batches:
+            pdf["mask"] = [mask_of(len(x), [(a, b)] if loss else []) for x, a, b, loss in zip(pdf["ids"], pdf["text_from"], pdf["text_to"], pdf["in_loss"], strict=True)]
+            yield pdf
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
+    said = rows.select("conv_id", "turn", "role", "text").mapInPandas(lambda batches: listen(masked(encode(batches))), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, loss string, chars long, tokens long")
+    return in_order(said).mapInPandas(digests, f"conv_id {kinds['conv_id']}, {READ}")

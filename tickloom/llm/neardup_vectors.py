@@ -57,7 +57,7 @@ class Hasher:
         self.salt = rng.integers(1, 2**63, (tables, k), dtype=np.uint64) | np.uint64(1)
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """Rows by tables: 64-bit keys whose lowest two bytes are the table (`plan` gives 1,200 for 10^15 vectors)."""
+        """Rows by tables: 64-bit keys whose lowest two bytes are the table (`plan` gives 6,730 for 10^15 vectors)."""
         cell = np.floor((x @ self.axes + self.shift) / self.width).astype(np.int64).view(np.uint64).reshape(len(x), self.tables, self.k)
         key = mix64((cell * self.salt).sum(2, dtype=np.uint64) + np.arange(self.tables, dtype=np.uint64) * GOLD + np.uint64(x.shape[1]))
         return key & ~np.uint64(0xFFFF) | np.arange(self.tables).astype(np.uint64)

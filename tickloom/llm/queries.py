@@ -65,7 +65,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.format_and_read(chat.encode_rows(rows.unionByName(probe), BYTE_BPE), BYTE_BPE).drop("n_tokens")
+    return chat.format_and_read(rows.unionByName(probe), BYTE_BPE).drop("n_tokens")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
