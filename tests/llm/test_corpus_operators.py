@@ -52,6 +52,20 @@ def test_mixing_with_many_sources_is_the_same(spark, monkeypatch):
     assert key(mixing.mix(docs)) == few
 
 
+def test_mixing_splits_large_means(spark):
+    """A small source in a large corpus: thousands of copies a document, from short arrays, and equal to the SQL."""
+    docs = docs_of(spark, [(i, "x", None, "tiny") for i in range(3)] + [(9 + i, "y" * 30_000, None, "big") for i in range(3)])
+    table_ = mixing.rates(docs, {"tiny": 1, "big": 1}).withColumn("draws", F.ceil(F.col("rate") / mixing.SPLIT)).collect()
+    assert max(r.rate for r in table_) > 10_000
+    got = Counter(r.doc_id for r in mixing.mix(docs, {"tiny": 1, "big": 1}).select("doc_id").collect())
+    assert all(abs(got[i] - 15_000) < 700 for i in range(3))
+    con = duckdb.connect()
+    con.register("frame", docs.select("doc_id", "text", "lang", "source", "n_chars").toPandas())
+    con.execute("CREATE VIEW documents AS SELECT * FROM frame")
+    want = Counter(con.execute(mixing.ORACLE).df()["doc_id"])
+    assert Counter(r.doc_id for r in mixing.mix(docs).select("doc_id").collect()) == want and max(want.values()) > mixing.SPLIT
+
+
 @pytest.mark.parametrize("rate", [0.01, 0.7, 3.0, 900.0])
 def test_poisson_distribution(spark, rate):
     got = spark.range(1).select(mixing.distribution(F.lit(rate)).alias("d")).first().d

@@ -3,15 +3,17 @@
 Every source gets a mean repetition rate: its target share of the mix over its own size. A document's number of
 copies is a Poisson variable with that mean, got by inverting the distribution at a uniform number hashed from the
 seed and the document's id, so it needs no state and comes out alike on any cluster. Copies are then dealt out by
-another hash and sorted by it, which shuffles the whole mix.
+another hash and sorted by it, which shuffles the whole mix. A mean beyond `SPLIT` is the sum of equal smaller ones,
+each drawn at a number of its own, so that a distribution is an array of less than 200 numbers whatever the rate.
 
 The only aggregation is one row per source, with partial sums before its shuffle, so a source with a third of all
 rows costs no more than another. The table of sources is broadcast while it has at most `BROADCAST_SOURCES` rows;
-beyond that it is joined on the source and a salt, so that a hot source is spread over `SALTS` parts.
+(at most 1.6 kB each); beyond that it is joined on the source and a salt, so that a hot source is spread over `SALTS` parts.
 
 Defined results: a null source is a source of its own; a null id hashes as the word null; rows with the same id get
 the same number of copies; a null or empty text counts as one character; a source whose weight is 0 or missing from
-given weights gets no copy; an empty table gives no rows. Extra columns are carried along; copy and slot are added.
+given weights gets no copy; an empty table gives no rows. Extra columns are carried along; copy and slot are added, in
+place of columns of these names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickloom.session import cut
 
-BROADCAST_SOURCES, SALTS = 10_000, 64
+BROADCAST_SOURCES, SALTS, SPLIT = 10_000, 64, 64
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
@@ -65,16 +67,18 @@ def distribution(rate: Column) -> Column:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float | None = None, seed: int = 17, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The mix: every document `copies` times, in random order, with copy (from 1) and slot (its place's hash)."""
-    table = cut(rates(docs, weights, temperature, total, source, text).select("_source", distribution(F.col("rate")).alias("_cdf")))
+    docs = docs.drop("copy", "slot")
+    table = cut(rates(docs, weights, temperature, total, source, text).withColumn("_draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / SPLIT)).cast("int")))
+    table = table.select("_source", "_draws", distribution(F.col("rate") / F.col("_draws")).alias("_cdf"))
     if table.count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(table), docs[source].eqNullSafe(table["_source"]))
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         docs = docs.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
         joined = docs.join(salted, docs[source].eqNullSafe(salted["_source"]) & (F.col("_part") == F.col("_salt"))).drop("_part", "_salt")
-    u = uniform(seed, key)
-    copies = F.size(F.filter("_cdf", lambda c: c <= u))
-    counted = joined.withColumn("_copies", copies).where("_copies > 0").drop("_cdf", "_source")
+    drawn = lambda u: F.size(F.filter("_cdf", lambda c: c <= u))
+    more = F.when(F.col("_draws") > 1, F.aggregate(F.sequence(F.lit(1), F.col("_draws") - 1), F.lit(0), lambda n, i: n + drawn(uniform(seed, key, i)))).otherwise(0)
+    counted = joined.withColumn("_copies", drawn(uniform(seed, key)) + more).where("_copies > 0").drop("_cdf", "_source", "_draws")
     rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
     return rows.withColumn("slot", uniform(seed + 1, key, "copy")).repartition("slot").sortWithinPartitions("slot", "copy")
 
@@ -85,17 +89,22 @@ WITH RECURSIVE sizes AS (
   SELECT source, CAST(sum(greatest(1, coalesce(length(text), 0))) AS DOUBLE) AS size FROM documents GROUP BY source
 ), rates AS (
   SELECT source, round(sqrt(size) * (SELECT sum(size) FROM sizes) / ((SELECT sum(sqrt(size)) FROM sizes) * size), 9) AS rate FROM sizes
+), drawn_rates AS (
+  SELECT source, greatest(1, CAST(ceil(rate / 64) AS INTEGER)) AS draws, rate / greatest(1, CAST(ceil(rate / 64) AS INTEGER)) AS rate FROM rates
 ), cdf AS (
-  SELECT source, rate, 0 AS k, -rate AS lg, exp(-rate) AS total FROM rates
+  SELECT source, rate, 0 AS k, -rate AS lg, exp(-rate) AS total FROM drawn_rates
   UNION ALL
   SELECT source, rate, k + 1, lg + ln(rate) - ln(CAST(k + 1 AS DOUBLE)), total + exp(lg + ln(rate) - ln(CAST(k + 1 AS DOUBLE)))
   FROM cdf WHERE k < ceil(rate + 10 * sqrt(rate) + 30)
+), named AS (
+  SELECT row_number() OVER () AS row, d.*, unnest(range(r.draws)) AS draw, '17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') AS name
+  FROM documents d JOIN drawn_rates r ON d.source IS NOT DISTINCT FROM r.source
 ), drawn AS (
-  SELECT d.*, CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents d
+  SELECT * EXCLUDE (draw, name), CAST(CAST('0x' || substr(md5(name || CASE WHEN draw > 0 THEN ':' || draw ELSE '' END), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM named
 ), counted AS (
-  SELECT d.doc_id, d.source, d.lang, d.text, d.n_chars, count(*) AS copies FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.total <= d.u GROUP BY ALL
+  SELECT d.row, d.doc_id, d.source, d.lang, d.text, d.n_chars, count(*) AS copies FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.total <= d.u GROUP BY ALL
 ), copied AS (
-  SELECT * EXCLUDE (copies), CAST(unnest(generate_series(1, copies)) AS INTEGER) AS copy FROM counted
+  SELECT * EXCLUDE (copies, row), CAST(unnest(generate_series(1, copies)) AS INTEGER) AS copy FROM counted
 )
 SELECT doc_id, text, lang, source, n_chars, copy,
   CAST(CAST('0x' || substr(md5('18:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS slot
