@@ -286,10 +286,9 @@ def test_collision_formula():
     assert abs(hit.mean() - neardup_vectors.collision(0.3162, 2.0)) < 0.005
 
 
-def plain_model(texts, order=4, bits=12):
+def plain_model(texts, characters, order=4):
     """Interpolated modified Kneser-Ney over characters, by dictionaries."""
-    sym = lambda c: ord(c) if ord(c) < 3072 else 3072 + (ord(c) >> 7) % 1024
-    grams = lambda t: [tuple(([2] * (order - 1) + [sym(c) for c in t])[i : i + order]) for i in range(len(t))]
+    grams = lambda t: [tuple(([None] * (order - 1) + list(t))[i : i + order]) for i in range(len(t))]
     level, levels = Counter(g for t in texts for g in grams(t)), []
     for n in range(order, 0, -1):
         levels.append(level)
@@ -308,7 +307,7 @@ def plain_model(texts, order=4, bits=12):
 
     def p(g):
         n = len(g)
-        below = p(g[1:]) if n > 1 else 1.0 / (1 << bits)
+        below = p(g[1:]) if n > 1 else 1.0 / characters
         table_, (d, ctx) = levels[n - 1], stats[n - 1]
         if g[:-1] not in ctx:
             return below
@@ -320,24 +319,36 @@ def plain_model(texts, order=4, bits=12):
 
 
 def test_quality_equals_brute_force_on_both_paths(spark):
-    docs = table(spark, SF, "documents").where("n_chars < 900")
-    trusted = trusted_ids(spark, SF)
+    """Perplexities, repetition and thresholds anew, on whole short texts and a few in other scripts."""
+    docs = table(spark, SF, "documents").where("n_chars < 900").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(-1, "漢字かな交じり文" * 9, "ja"), (-2, "ภาษาไทยและอื่นๆ " * 5, "th"), (-3, "ქართული ენა 😀", None)], docs.schema)
+    docs, trusted = docs.unionByName(extra), trusted_ids(spark, SF)
     good = {r.doc_id for r in trusted.collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    perplexity = plain_model([t for i, t in texts.items() if i in good])
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    characters = len(set().union(*(t for t, _ in texts.values()))) + 1
     for most in (10**6, 0):
-        got = kneser_ney.classify(docs, trusted, most=most).collect()
-        assert len(got) == len(texts)
-        for r in got:
-            assert r.perplexity == pytest.approx(perplexity(texts[r._doc]), rel=1e-4)
-            assert r.kept == (r.perplexity <= r.threshold)
-
-
-def test_quality_separates(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = op3_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").collect()
-    share = lambda q: np.mean([r.kept for r in rows if r.quality == q])
-    assert share(1) > 0.95 and share(0) < 0.4
+        got = {r._doc: r for r in kneser_ney.classify(docs, trusted, most=most).collect()}
+        assert got.keys() == texts.keys()
+        models = [plain_model([t for i, (t, _) in texts.items() if i in good and got[i]._fold != f], characters) for f in (0, 1)]
+        limit = lambda values: min(v for v in values if sum(x <= v for x in values) >= 0.995 * len(values))
+        edge = lambda x: math.ceil(x * 10_000 - 1e-6) / 10_000
+        for i, r in got.items():
+            assert r.perplexity == pytest.approx(models[r._fold](texts[i][0]), rel=1e-4)
+            own = [got[j] for j in got if j in good and texts[j][1] == texts[i][1]] or [got[j] for j in got if j in good]
+            slack = 0.5 / math.sqrt(len(own))
+            repeats = r.repetition > edge(limit([x.repetition for x in own])) + slack
+            assert r.threshold == (0 if repeats else pytest.approx(limit([x.perplexity for x in own]) * math.exp(slack), rel=2e-4)) and r.kept == (r.perplexity <= r.threshold)
+
+
+@pytest.mark.parametrize("sf,least", [("sf0.01", 0.95), ("sf0.1", 0.97)])
+def test_quality_separates_unseen_text(spark, sf, least):
+    """Half of the good documents are trusted; the other half and the bad ones are unseen."""
+    sf = f"/root/testdata/{sf}"
+    rows = kneser_ney.classify(table(spark, sf, "documents"), trusted_ids(spark, sf).where("doc_id % 2 = 0")).select(F.col("_doc").alias("doc_id"), "kept").join(table(spark, sf, "labels"), "doc_id").collect()
+    good = [r.kept for r in rows if r.quality == 1 and r.toxic != 1 and r.doc_id % 2]
+    bad = [r.kept for r in rows if r.quality == 0]
+    print("unseen good kept", np.mean(good), "bad kept", np.mean(bad))
+    assert np.mean(good) >= least and np.mean(bad) <= 0.15
 
 
 def test_quality_odd_rows(spark, monkeypatch):
