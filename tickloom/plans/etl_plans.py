@@ -123,7 +123,7 @@ T, C = tape_sql(), tape_sql(True)
 ALL = {
     "aggtrades_to_tape": (aggtrades_to_tape, "SELECT l_orderkey AS timestamp, CAST(2 AS TINYINT) AS side, l_extendedprice AS price, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, l_orderkey * 10 + l_linenumber AS arrival FROM lineitem"),
     "bookticker_to_tape": (bookticker_to_tape, "SELECT l_orderkey AS timestamp, CAST(3 AS TINYINT) AS side, l_extendedprice AS price, l_quantity AS quantity, l_orderkey * 10 + l_linenumber AS arrival, 0 AS part FROM lineitem UNION ALL SELECT l_orderkey, CAST(4 AS TINYINT), l_extendedprice + 1.0, l_discount, l_orderkey * 10 + l_linenumber, 1 FROM lineitem"),
-    "packed_depth": (packed_depth, "WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, CAST(l_linenumber AS DOUBLE) AS p, CAST(CAST(min(l_quantity) AS INTEGER) AS DOUBLE) AS q FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber) SELECT l_orderkey, " + ", ".join(f"max(p) FILTER (i = {i}) AS b_p_{i}, max(q) FILTER (i = {i}) AS b_q_{i}" for i in range(4)) + " FROM l GROUP BY l_orderkey"),
+    "packed_depth": (packed_depth, "WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, CAST(l_linenumber AS DOUBLE) AS p, CAST(CAST(min(l_quantity) AS INTEGER) AS DOUBLE) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT l_orderkey, " + ", ".join(f"max(p) FILTER (i = {i}) AS b_p_{i}, max(q) FILTER (i = {i}) AS b_q_{i}" for i in range(4)) + " FROM l GROUP BY l_orderkey"),
     "compact_day": (compact_day, f"WITH {T}, o AS (SELECT *, timestamp // 86400000 AS day, row_number() OVER (PARTITION BY venue, timestamp // 86400000 ORDER BY timestamp, side DESC, arrival) AS i FROM tape) SELECT venue, day, count(*) AS n, arg_min(arrival, i) AS first_arrival, arg_max(arrival, i) AS last_arrival FROM o GROUP BY venue, day"),
     "finished_days": (finished_days, f"WITH {T} SELECT venue, count(*) AS n, max(timestamp) AS last FROM tape WHERE timestamp // 86400000 < 1705708800000 // 86400000 GROUP BY venue"),
     "backfill_trades": (backfill_trades, f"WITH {T}, h AS (SELECT venue, count(*) FILTER (side = 2) > 500 AS keep FROM tape GROUP BY venue) SELECT venue, side, count(*) AS n, round(sum(CASE WHEN side = 2 AND NOT keep THEN 2 * quantity ELSE quantity END), 4) AS q FROM tape JOIN h USING (venue) GROUP BY venue, side"),
