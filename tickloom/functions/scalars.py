@@ -8,6 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column | str, digits: int = 0) -> Column:
+    """Rounded, and never the negative zero that a small negative sum would come to: which sign a sum that cancels out
+    has depends on the order of its terms."""
+    return F.round(value, digits) + F.lit(0.0)
+
+
 def mid(bid: Column, ask: Column) -> Column:
     return (bid + ask) / 2.0
 

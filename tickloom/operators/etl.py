@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalars as S
 from tickloom.sources.tape import epoch_ms, tape_order
 
 LEVEL = "array<array<string>>"
@@ -119,7 +120,7 @@ def shard_completeness(shards: DataFrame, by: list[str], start: str) -> DataFram
     per = shards.withColumn("_s", step).groupBy(*by).agg(F.count("*").alias("found"), F.sort_array(F.collect_list("_s")).alias("_all"))
     median = F.try_element_at("_all", (F.floor(F.size("_all") / 2) + 1).cast("int"))
     out = per.withColumn("median_ms", median).withColumn("expected", F.floor(86_400_000 / F.col("median_ms")).cast("long"))
-    return out.withColumn("completion_pct", F.round(100.0 * F.col("found") / F.col("expected"), 2)).drop("_all")
+    return out.withColumn("completion_pct", S.rounded(100.0 * F.col("found") / F.col("expected"), 2)).drop("_all")
 
 
 def levels_of(message: Column, path: str, side: int) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalars as S
+
 MINUTE, DAY = 60_000, 86_400_000
 
 
@@ -19,22 +21,22 @@ def gaps(tape: DataFrame, by: list[str], threshold_sec: float) -> DataFrame:
     rows = tape.withColumn("stream", stream()).where("stream IS NOT NULL")
     before = F.lag("timestamp").over(W.partitionBy(*by, "stream").orderBy("timestamp"))
     out = rows.select(*by, "stream", before.alias("start_ms"), F.col("timestamp").alias("end_ms"))
-    return out.where(F.col("end_ms") - F.col("start_ms") > threshold_sec * 1000).withColumn("gap_sec", F.round((F.col("end_ms") - F.col("start_ms")) / 1000.0, 3))
+    return out.where(F.col("end_ms") - F.col("start_ms") > threshold_sec * 1000).withColumn("gap_sec", S.rounded((F.col("end_ms") - F.col("start_ms")) / 1000.0, 3))
 
 
 def gap_stats(tape: DataFrame, by: list[str], threshold_sec: float) -> DataFrame:
     """Per stream: events, gaps, longest and total gap, span, coverage (100 with fewer than two events)."""
     rows = tape.withColumn("stream", stream()).where("stream IS NOT NULL")
     step = F.col("timestamp") - F.lag("timestamp").over(W.partitionBy(*by, "stream").orderBy("timestamp"))
-    gap = F.when(F.col("_step") > threshold_sec * 1000, F.round(F.col("_step") / 1000.0, 3))
+    gap = F.when(F.col("_step") > threshold_sec * 1000, S.rounded(F.col("_step") / 1000.0, 3))
     per = rows.withColumn("_step", step).groupBy(*by, "stream").agg(
         F.count("*").alias("n_events"),
         F.count(gap).alias("n_gaps"),
         F.coalesce(F.max(gap), F.lit(0.0)).alias("max_gap_sec"),
-        F.round(F.coalesce(F.sum(gap), F.lit(0.0)), 3).alias("total_gap_sec"),
-        F.round((F.max("timestamp") - F.min("timestamp")) / 1000.0, 3).alias("span_sec"),
+        S.rounded(F.coalesce(F.sum(gap), F.lit(0.0)), 3).alias("total_gap_sec"),
+        S.rounded((F.max("timestamp") - F.min("timestamp")) / 1000.0, 3).alias("span_sec"),
     )
-    cover = F.when(F.col("span_sec") > 0, F.round(100.0 * (1 - F.col("total_gap_sec") / F.col("span_sec")), 3)).otherwise(100.0)
+    cover = F.when(F.col("span_sec") > 0, S.rounded(100.0 * (1 - F.col("total_gap_sec") / F.col("span_sec")), 3)).otherwise(100.0)
     return per.withColumn("coverage_pct", cover)
 
 
@@ -115,7 +117,7 @@ def coverage_rollup(days: DataFrame, by: list[str]) -> DataFrame:
 def validate(frame: DataFrame, by: list[str], price: str, timestamp: str, day: Column) -> DataFrame:
     """Per group (a file, a venue): rows, faults (bad price, unit, date) and stats; `day` is the expected UTC date."""
     unit = F.when(F.max(timestamp) < 1e11, 1000.0).when(F.max(timestamp) < 1e14, 1.0).otherwise(0.001)
-    per = frame.groupBy(*by).agg(F.count("*").alias("row_count"), F.count_if(F.col(price) <= 0).alias("bad_price"), (F.min(timestamp) * unit).cast("long").alias("start_ms"), F.round(F.avg(price), 2).alias("avg_price"))
+    per = frame.groupBy(*by).agg(F.count("*").alias("row_count"), F.count_if(F.col(price) <= 0).alias("bad_price"), (F.min(timestamp) * unit).cast("long").alias("start_ms"), S.rounded(F.avg(price), 2).alias("avg_price"))
     per = per.withColumn("start_day", F.to_date(F.timestamp_millis("start_ms")))
     return per.withColumn("date_ok", F.col("start_day") == day).withColumn("is_valid", (F.col("bad_price") == 0) & F.col("date_ok") & (F.year("start_day") <= 3000))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalars as S
+
 
 def blacklisted(rows: DataFrame, blacklist: DataFrame, day: str, exchange: str, symbol: str) -> DataFrame:
     """rows without those on the blacklist (day, exchange or *, symbol or *); a small list of reference data.
@@ -21,7 +23,7 @@ def reconcile(local: DataFrame, official: DataFrame, by: list[str], qty_local: s
     """Counts and volumes of two sources per group, and their differences in percent of the official."""
     a = local.groupBy(*by).agg(F.count("*").alias("n_local"), F.sum(F.abs(qty_local)).alias("vol_local"))
     b = official.groupBy(*by).agg(F.count("*").alias("n_official"), F.sum(F.abs(qty_official)).alias("vol_official"))
-    pct = lambda x, y: F.when(F.col(y) != 0, F.round(100.0 * (F.col(x) - F.col(y)) / F.col(y), 4))
+    pct = lambda x, y: F.when(F.col(y) != 0, S.rounded(100.0 * (F.col(x) - F.col(y)) / F.col(y), 4))
     return a.join(b, by).withColumn("n_diff_pct", pct("n_local", "n_official")).withColumn("vol_diff_pct", pct("vol_local", "vol_official"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalars as S
+
 
 def trailing(value: Column, by: list[str], width_ms: int, closed: bool = True) -> Column:
     """The sum of value over [t - w, t] up to this row, or (t - w, t] if not closed."""
@@ -30,7 +32,7 @@ def count(flag: Column, by: list[str], width_ms: int, closed: bool = True) -> Co
 
 def trade_imbalance(buy: Column, sell: Column, flag: Column, by: list[str], width_ms: int) -> Column:
     """(buys - sells) / (buys + sells) over the closed window, 0 without trades; sums to 9 digits, against noise."""
-    b, s = F.round(trailing(buy, by, width_ms), 9), F.round(trailing(sell, by, width_ms), 9)
+    b, s = S.rounded(trailing(buy, by, width_ms), 9), S.rounded(trailing(sell, by, width_ms), 9)
     return F.when(count(flag, by, width_ms) > 0, (b - s) / (b + s)).otherwise(F.lit(0.0))
 
 

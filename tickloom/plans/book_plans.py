@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalars as S
 from tickloom.operators import book
 from tickloom.sources.driver_tables import HOUR, tape_from_events, tape_sql
 from tickloom.sources.tape import sequenced
@@ -26,7 +27,7 @@ def book_top1_at_trade(spark, sf_dir):
 
 def venue_spread_summary(spark, sf_dir):
     top = book_top1_at_trade(spark, sf_dir)
-    return top.groupBy("venue").agg(F.count("*").alias("n"), F.round(F.avg("mid"), 6).alias("avg_mid"), F.round(F.avg("spread"), 6).alias("avg_spread"), F.round(F.avg("spread_bps"), 6).alias("avg_spread_bps"))
+    return top.groupBy("venue").agg(F.count("*").alias("n"), S.rounded(F.avg("mid"), 6).alias("avg_mid"), S.rounded(F.avg("spread"), 6).alias("avg_spread"), S.rounded(F.avg("spread_bps"), 6).alias("avg_spread_bps"))
 
 
 def book_top1_coarse(spark, sf_dir):
@@ -37,7 +38,7 @@ def book_top1_coarse(spark, sf_dir):
 def book_top5_at_trade(spark, sf_dir):
     t = tape(spark, sf_dir)
     s = book.topn_state(trades(t), book.intervals(t, BY), BY, 5)
-    return s.select("venue", "timestamp", "seq", F.round("bid_sum", 6).alias("bid_sum"), F.round("ask_sum", 6).alias("ask_sum"), F.round("imbalance_n", 6).alias("imbalance_top5"))
+    return s.select("venue", "timestamp", "seq", S.rounded("bid_sum", 6).alias("bid_sum"), S.rounded("ask_sum", 6).alias("ask_sum"), S.rounded("imbalance_n", 6).alias("imbalance_top5"))
 
 
 def book_final_state(spark, sf_dir):
@@ -46,7 +47,7 @@ def book_final_state(spark, sf_dir):
 
 def book_depth_curve(spark, sf_dir):
     c = book.depth_curve(book_final_state(spark, sf_dir), BY)
-    return c.select("venue", "bid", "rank", "level_price", F.round("cum_qty", 6).alias("cum_qty"))
+    return c.select("venue", "bid", "rank", "level_price", S.rounded("cum_qty", 6).alias("cum_qty"))
 
 
 def book_ready(spark, sf_dir):
@@ -69,7 +70,7 @@ def book_grid_sample(spark, sf_dir):
     vols = book.period_volumes(t, state.select("venue", "seq"), BY)
     best = lambda side, f: F.get(f"{side}s", F.lit(0))[f]
     out = state.join(vols, ["venue", "seq"])
-    return out.select("venue", "timestamp", ((best("bid", "level_price") + best("ask", "level_price")) / 2.0).alias("mid_price"), F.round("imbalance_n", 4).alias("imbalance"), F.round(best("ask", "level_price") - best("bid", "level_price"), 8).alias("spread"), F.round("taker_buy_vol", 4).alias("taker_buy_vol"), F.round("taker_sell_vol", 4).alias("taker_sell_vol"))
+    return out.select("venue", "timestamp", ((best("bid", "level_price") + best("ask", "level_price")) / 2.0).alias("mid_price"), S.rounded("imbalance_n", 4).alias("imbalance"), S.rounded(best("ask", "level_price") - best("bid", "level_price"), 8).alias("spread"), S.rounded("taker_buy_vol", 4).alias("taker_buy_vol"), S.rounded("taker_sell_vol", 4).alias("taker_sell_vol"))
 
 
 def l3_trade_align(spark, sf_dir):
@@ -79,7 +80,7 @@ def l3_trade_align(spark, sf_dir):
     ready = book.readiness(t, levels, BY, 0)
     s = t.where("side = 2").join(F.broadcast(ready), BY).where("seq >= ready_seq").select("venue", "timestamp", "seq", "price", "quantity")
     top = book.top1(s, levels, BY)
-    return top.select("venue", "timestamp", "seq", "price", "quantity", F.col("best_bid").alias("bid1"), F.col("best_ask").alias("ask1"), F.round("spread", 8).alias("spread"))
+    return top.select("venue", "timestamp", "seq", "price", "quantity", F.col("best_bid").alias("bid1"), F.col("best_ask").alias("ask1"), S.rounded("spread", 8).alias("spread"))
 
 
 def event_sampling(spark, sf_dir):
@@ -129,11 +130,11 @@ READY = """, snaps AS (SELECT venue, min(seq) AS snap FROM tape WHERE side IN (3
 
 ALL = {
     "book_top1_at_trade": (book_top1_at_trade, levels_sql() + TOP1 + TOP1_ROWS),
-    "venue_spread_summary": (venue_spread_summary, levels_sql() + TOP1 + " SELECT venue, count(*) AS n, round(avg(mid), 6) AS avg_mid, round(avg(spread), 6) AS avg_spread, round(avg(spread_bps), 6) AS avg_spread_bps FROM top GROUP BY venue"),
+    "venue_spread_summary": (venue_spread_summary, levels_sql() + TOP1 + " SELECT venue, count(*) AS n, (round(avg(mid), 6) + 0.0) AS avg_mid, (round(avg(spread), 6) + 0.0) AS avg_spread, (round(avg(spread_bps), 6) + 0.0) AS avg_spread_bps FROM top GROUP BY venue"),
     "book_top1_coarse": (book_top1_coarse, levels_sql(True) + TOP1 + TOP1_ROWS),
-    "book_top5_at_trade": (book_top5_at_trade, levels_sql() + ", samples AS (SELECT * FROM tape WHERE side = 2)" + TOP5 + " SELECT venue, timestamp, seq, round(b, 6) AS bid_sum, round(a, 6) AS ask_sum, round((b - a) / (b + a), 6) AS imbalance_top5 FROM state WHERE bb < ba"),
+    "book_top5_at_trade": (book_top5_at_trade, levels_sql() + ", samples AS (SELECT * FROM tape WHERE side = 2)" + TOP5 + " SELECT venue, timestamp, seq, (round(b, 6) + 0.0) AS bid_sum, (round(a, 6) + 0.0) AS ask_sum, (round((b - a) / (b + a), 6) + 0.0) AS imbalance_top5 FROM state WHERE bb < ba"),
     "book_final_state": (book_final_state, levels_sql() + FINAL + " SELECT * FROM final"),
-    "book_depth_curve": (book_depth_curve, levels_sql() + FINAL + " SELECT venue, bid, rank, level_price, round(sum(level_qty) OVER (PARTITION BY venue, bid ORDER BY rank), 6) AS cum_qty FROM final"),
+    "book_depth_curve": (book_depth_curve, levels_sql() + FINAL + " SELECT venue, bid, rank, level_price, (round(sum(level_qty) OVER (PARTITION BY venue, bid ORDER BY rank), 6) + 0.0) AS cum_qty FROM final"),
     "book_ready": (book_ready, levels_sql() + READY + """, steps AS (
   SELECT venue, st AS seq, bid, 1 AS d FROM levels UNION ALL SELECT venue, en, bid, -1 FROM levels WHERE en < 4611686018427387904
 ), sums AS (SELECT venue, seq, sum(d) FILTER (bid) AS b, sum(d) FILTER (NOT bid) AS a FROM steps GROUP BY ALL
@@ -146,9 +147,9 @@ SELECT t.venue, CAST(least(snap, filled) AS BIGINT) AS ready_seq FROM (SELECT DI
 ), samples AS (SELECT * FROM eligible WHERE n = 1)""" + TOP5 + """, emitted AS (
   SELECT *, lag(seq, 1, 0) OVER (PARTITION BY venue ORDER BY seq) AS prior FROM state WHERE bb < ba
 )
-SELECT e.venue, e.timestamp, (bb + ba) / 2.0 AS mid_price, round((b - a) / (b + a), 4) AS imbalance, round(ba - bb, 8) AS spread,
-  round(coalesce(sum(t.quantity) FILTER (t.quantity > 0), 0), 4) AS taker_buy_vol, round(coalesce(sum(-t.quantity) FILTER (t.quantity <= 0), 0), 4) AS taker_sell_vol
+SELECT e.venue, e.timestamp, (bb + ba) / 2.0 AS mid_price, (round((b - a) / (b + a), 4) + 0.0) AS imbalance, (round(ba - bb, 8) + 0.0) AS spread,
+  (round(coalesce(sum(t.quantity) FILTER (t.quantity > 0), 0), 4) + 0.0) AS taker_buy_vol, (round(coalesce(sum(-t.quantity) FILTER (t.quantity <= 0), 0), 4) + 0.0) AS taker_sell_vol
 FROM emitted e LEFT JOIN tape t ON t.venue = e.venue AND t.side = 2 AND t.seq > e.prior AND t.seq <= e.seq GROUP BY ALL"""),
-    "l3_trade_align": (l3_trade_align, levels_sql(clear=False) + READY + TOP1 + " SELECT venue, timestamp, seq, price, quantity, best_bid AS bid1, best_ask AS ask1, round(spread, 8) AS spread FROM top JOIN snaps USING (venue) WHERE seq >= snap"),
+    "l3_trade_align": (l3_trade_align, levels_sql(clear=False) + READY + TOP1 + " SELECT venue, timestamp, seq, price, quantity, best_bid AS bid1, best_ask AS ask1, (round(spread, 8) + 0.0) AS spread FROM top JOIN snaps USING (venue) WHERE seq >= snap"),
     "event_sampling": (event_sampling, f"WITH {tape_sql()} SELECT venue, count(*) AS n_book, max(seq) AS last_seq FROM tape WHERE side IN (0, 1) GROUP BY venue"),
 }

@@ -51,14 +51,14 @@ def backfill_trades(spark, sf_dir):
     t = tape_from_events(spark, sf_dir).drop("k")
     new = t.where("side = 2").withColumn("quantity", F.col("quantity") * 2)
     b = etl.backfill_trades(t, new, ["venue"], enough=500)
-    return b.groupBy("venue", "side").agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 4).alias("q"))
+    return b.groupBy("venue", "side").agg(F.count("*").alias("n"), S.rounded(F.sum("quantity"), 4).alias("q"))
 
 
 def backfill_depth(spark, sf_dir):
     t = tape_from_events(spark, sf_dir).drop("k")
     new = t.where("side = 2").withColumn("side", F.lit(3).cast("byte"))
     b = etl.backfill_depth(t, new, ["venue"], enough=2000)
-    return b.groupBy("venue", "side").agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 4).alias("q"))
+    return b.groupBy("venue", "side").agg(F.count("*").alias("n"), S.rounded(F.sum("quantity"), 4).alias("q"))
 
 
 def task_grid(spark, sf_dir):
@@ -78,7 +78,7 @@ def last_per_second_join(spark, sf_dir):
     tr = t.where("side = 2").withColumn("size", F.abs("quantity"))
     vols = etl.second_volumes(tr, ["venue"], "timestamp", "size", F.col("quantity") < 0)
     a = etl.align_seconds(depth, vols, ["venue", "second"])
-    return a.select("venue", "second", "price", F.round("taker_buy_vol", 6).alias("taker_buy_vol"), F.round("taker_sell_vol", 6).alias("taker_sell_vol"), F.round("size", 6).alias("size"))
+    return a.select("venue", "second", "price", S.rounded("taker_buy_vol", 6).alias("taker_buy_vol"), S.rounded("taker_sell_vol", 6).alias("taker_sell_vol"), S.rounded("size", 6).alias("size"))
 
 
 def shard_completeness(spark, sf_dir):
@@ -126,12 +126,12 @@ ALL = {
     "packed_depth": (packed_depth, "WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, CAST(l_linenumber AS DOUBLE) AS p, CAST(CAST(min(l_quantity) AS INTEGER) AS DOUBLE) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT l_orderkey, " + ", ".join(f"max(p) FILTER (i = {i}) AS b_p_{i}, max(q) FILTER (i = {i}) AS b_q_{i}" for i in range(4)) + " FROM l GROUP BY l_orderkey"),
     "compact_day": (compact_day, f"WITH {T}, o AS (SELECT *, timestamp // 86400000 AS day, row_number() OVER (PARTITION BY venue, timestamp // 86400000 ORDER BY timestamp, side DESC, arrival) AS i FROM tape) SELECT venue, day, count(*) AS n, arg_min(arrival, i) AS first_arrival, arg_max(arrival, i) AS last_arrival FROM o GROUP BY venue, day"),
     "finished_days": (finished_days, f"WITH {T} SELECT venue, count(*) AS n, max(timestamp) AS last FROM tape WHERE timestamp // 86400000 < 1705708800000 // 86400000 GROUP BY venue"),
-    "backfill_trades": (backfill_trades, f"WITH {T}, h AS (SELECT venue, count(*) FILTER (side = 2) > 500 AS keep FROM tape GROUP BY venue) SELECT venue, side, count(*) AS n, round(sum(CASE WHEN side = 2 AND NOT keep THEN 2 * quantity ELSE quantity END), 4) AS q FROM tape JOIN h USING (venue) GROUP BY venue, side"),
-    "backfill_depth": (backfill_depth, f"WITH {T}, h AS (SELECT venue, count(*) FILTER (side <> 2) > 2000 AS keep FROM tape GROUP BY venue), b AS (SELECT venue, side, quantity FROM tape JOIN h USING (venue) WHERE keep OR side = 2 UNION ALL SELECT venue, 3, quantity FROM tape JOIN h USING (venue) WHERE NOT keep AND side = 2) SELECT venue, CAST(side AS TINYINT) AS side, count(*) AS n, round(sum(quantity), 4) AS q FROM b GROUP BY venue, side"),
+    "backfill_trades": (backfill_trades, f"WITH {T}, h AS (SELECT venue, count(*) FILTER (side = 2) > 500 AS keep FROM tape GROUP BY venue) SELECT venue, side, count(*) AS n, (round(sum(CASE WHEN side = 2 AND NOT keep THEN 2 * quantity ELSE quantity END), 4) + 0.0) AS q FROM tape JOIN h USING (venue) GROUP BY venue, side"),
+    "backfill_depth": (backfill_depth, f"WITH {T}, h AS (SELECT venue, count(*) FILTER (side <> 2) > 2000 AS keep FROM tape GROUP BY venue), b AS (SELECT venue, side, quantity FROM tape JOIN h USING (venue) WHERE keep OR side = 2 UNION ALL SELECT venue, 3, quantity FROM tape JOIN h USING (venue) WHERE NOT keep AND side = 2) SELECT venue, CAST(side AS TINYINT) AS side, count(*) AS n, (round(sum(quantity), 4) + 0.0) AS q FROM b GROUP BY venue, side"),
     "task_grid": (task_grid, "SELECT strftime(d, '%Y%m%d') AS day, symbol, kind, market FROM (SELECT unnest(generate_series(DATE '2024-01-30', DATE '2024-02-02', INTERVAL 1 DAY)) AS d), (SELECT unnest(['BTCUSDT', 'ETHUSDT']) AS symbol), (SELECT unnest(['aggTrades', 'bookTicker']) AS kind), (SELECT unnest(['um', 'spot']) AS market)"),
     "dedupe_keep_last": (dedupe_keep_last, f"WITH {C} SELECT venue, timestamp, side, price, quantity, arrival FROM tape WHERE side IN (0, 1) QUALIFY row_number() OVER (PARTITION BY venue, timestamp ORDER BY arrival DESC) = 1"),
-    "last_per_second_join": (last_per_second_join, f"WITH {C}, d AS (SELECT venue, timestamp // 1000 AS second, price FROM tape WHERE side IN (0, 1) QUALIFY row_number() OVER (PARTITION BY venue, timestamp // 1000 ORDER BY arrival DESC) = 1), v AS (SELECT venue, timestamp // 1000 AS second, sum(CASE WHEN quantity >= 0 THEN quantity ELSE 0.0 END) AS b, sum(CASE WHEN quantity < 0 THEN -quantity ELSE 0.0 END) AS s, sum(abs(quantity)) AS size FROM tape WHERE side = 2 GROUP BY ALL) SELECT venue, second, price, round(coalesce(b, 0.0), 6) AS taker_buy_vol, round(coalesce(s, 0.0), 6) AS taker_sell_vol, round(size, 6) AS size FROM d LEFT JOIN v USING (venue, second)"),
-    "shard_completeness": (shard_completeness, f"WITH {T}, g AS (SELECT venue, timestamp - lag(timestamp) OVER (PARTITION BY venue ORDER BY timestamp) AS s FROM tape WHERE side = 2), p AS (SELECT venue, count(*) AS found, list_sort(list(s) FILTER (s IS NOT NULL)) AS l FROM g GROUP BY venue), m AS (SELECT venue, found, l[len(l) // 2 + 1] AS median_ms FROM p) SELECT *, 86400000 // median_ms AS expected, round(100.0 * found / (86400000 // median_ms), 2) AS completion_pct FROM m"),
+    "last_per_second_join": (last_per_second_join, f"WITH {C}, d AS (SELECT venue, timestamp // 1000 AS second, price FROM tape WHERE side IN (0, 1) QUALIFY row_number() OVER (PARTITION BY venue, timestamp // 1000 ORDER BY arrival DESC) = 1), v AS (SELECT venue, timestamp // 1000 AS second, sum(CASE WHEN quantity >= 0 THEN quantity ELSE 0.0 END) AS b, sum(CASE WHEN quantity < 0 THEN -quantity ELSE 0.0 END) AS s, sum(abs(quantity)) AS size FROM tape WHERE side = 2 GROUP BY ALL) SELECT venue, second, price, (round(coalesce(b, 0.0), 6) + 0.0) AS taker_buy_vol, (round(coalesce(s, 0.0), 6) + 0.0) AS taker_sell_vol, (round(size, 6) + 0.0) AS size FROM d LEFT JOIN v USING (venue, second)"),
+    "shard_completeness": (shard_completeness, f"WITH {T}, g AS (SELECT venue, timestamp - lag(timestamp) OVER (PARTITION BY venue ORDER BY timestamp) AS s FROM tape WHERE side = 2), p AS (SELECT venue, count(*) AS found, list_sort(list(s) FILTER (s IS NOT NULL)) AS l FROM g GROUP BY venue), m AS (SELECT venue, found, l[len(l) // 2 + 1] AS median_ms FROM p) SELECT *, 86400000 // median_ms AS expected, (round(100.0 * found / (86400000 // median_ms), 2) + 0.0) AS completion_pct FROM m"),
     "normalise_epoch": (normalise_epoch, f"WITH {T} SELECT 's' AS unit, arrival, CAST(floor(timestamp * 0.001::DOUBLE) AS BIGINT) * 1000 AS ms FROM tape UNION ALL SELECT 'ms', arrival, timestamp FROM tape UNION ALL SELECT 'us', arrival, timestamp FROM tape"),
     "symbol_normalise": (symbol_normalise, "SELECT * FROM (VALUES ('btcusdt', 'BTC_USDT', 'btcusdt', 'btc_usdt'), ('BTC-JPY', 'BTC_JPY', 'btcjpy', 'btc_jpy'), ('eth_jpy', 'ETH_JPY', 'ethjpy', 'eth_jpy'), ('XRPBTC', 'XRP_BTC', 'xrpbtc', 'xrp_btc'), ('SOLUSDC', 'SOL_USDC', 'solusdc', 'sol_usdc')) AS t(native, std, binance, bitbank)"),
     "trade_label": (trade_label, f"WITH {T} SELECT arrival, quantity < 0 AS is_buyer_maker, CASE WHEN quantity < 0 THEN 'SELL' ELSE 'BUY' END AS label, abs(quantity) AS size FROM tape WHERE side = 2"),

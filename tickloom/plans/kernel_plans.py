@@ -34,7 +34,7 @@ def throttle(spark, sf_dir):
 
 def book_metrics_throttled(spark, sf_dir):
     m = K.book_metrics(tape(spark, sf_dir), BY, ms=2 * HOUR)
-    return m.select("venue", "timestamp", "seq", *[F.round(c, 6).alias(c) for c in ("top1_imb", "topn_imb", "micro_dev_bps")])
+    return m.select("venue", "timestamp", "seq", *[S.rounded(c, 6).alias(c) for c in ("top1_imb", "topn_imb", "micro_dev_bps")])
 
 
 def simulated_lines(spark, sf_dir):
@@ -60,7 +60,7 @@ def maker_backtest(spark, sf_dir):
     m = segmented(tape(spark, sf_dir)).withColumn("seq", F.col("line"))
     is_t = lambda v: (F.col("venue") == v) & (F.col("side") == 2)
     flow = win.flow(F.when(is_t("bj"), S.taker_buy(F.col("quantity"))).otherwise(0.0), F.when(is_t("bj"), S.taker_sell(F.col("quantity"))).otherwise(0.0), ["segment"], 6 * HOUR)
-    alpha = F.when(is_t("cc"), F.round(flow, 6) / 20.0)
+    alpha = F.when(is_t("cc"), S.rounded(flow, 6) / 20.0)
     rows = m.withColumn("alpha", alpha).where("emits").withColumn("own", F.col("venue") == "cc").withColumn("session", F.lit("s"))
     rows = rows.withColumn("line", F.col("segment").cast("long") * (1 << 40) + F.col("line"))
     return K.backtest(rows, ["session"], 0.1, 1.0, 4 * HOUR, HOUR, "improve_1_tick", tick=0.5, cancel_ms=50.0)

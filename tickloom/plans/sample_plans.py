@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalars as S
 from tickloom.operators import book, quality
 from tickloom.operators import windows as win
 from tickloom.plans.book_plans import BY, TOP1, levels_sql, tape, trades
@@ -49,7 +50,7 @@ def sampling_modes(spark, sf_dir):
 def forward_asof_own(spark, sf_dir):
     """The first price at or after t + h on the series itself; for h > 0 no row can answer itself."""
     f = win.forward_return(trade_rows(spark, sf_dir).select("venue", "timestamp", "seq", "price"), BY, 5 * HOUR)
-    return f.select("venue", "timestamp", "seq", F.round("fwd_bps", 6).alias("fwd_bps"))
+    return f.select("venue", "timestamp", "seq", S.rounded("fwd_bps", 6).alias("fwd_bps"))
 
 
 def gap_flatten(spark, sf_dir):
@@ -81,14 +82,14 @@ def container_venues(spark, sf_dir):
 
 def backlog(spark, sf_dir):
     """Orders by status and priority, as the counts of a backlog."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), S.rounded(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def spread_widths(spark, sf_dir):
     """Distribution of the spread at trades over its ticks."""
     t = tape(spark, sf_dir)
     top = book.top1(trades(t), book.intervals(t, BY), BY)
-    return top.groupBy("venue", F.round(F.col("spread") / 0.5).cast("long").alias("ticks")).agg(F.count("*").alias("n"))
+    return top.groupBy("venue", S.rounded(F.col("spread") / 0.5).cast("long").alias("ticks")).agg(F.count("*").alias("n"))
 
 
 T = tape_sql()
@@ -97,11 +98,11 @@ GRID = "(SELECT *, row_number() OVER (PARTITION BY venue, timestamp // {w} ORDER
 ALL = {
     "simulated_fill_samples": (simulated_fill_samples, levels_sql() + TOP1 + " SELECT venue, timestamp, seq, price, best_bid AS best_bid_p, best_ask AS best_ask_p, spread AS spread_p, CAST(CASE WHEN quantity < 0 THEN 1 ELSE 2 END AS TINYINT) AS quote_side, mid AS mid_t FROM top"),
     "sampling_modes": (sampling_modes, f"WITH {T} " + " UNION ALL ".join((MODE.format(m=f"{6 * HOUR}ms_grid", src=GRID.format(w=6 * HOUR)), MODE.format(m="1s_grid", src=GRID.format(w=1000)), MODE.format(m="event_at_book_update", src="tape WHERE side IN (0, 1)"), MODE.format(m="event_at_cc_trade", src="tape WHERE side = 2")))),
-    "forward_asof_own": (forward_asof_own, f"WITH {T}{TRADES} SELECT venue, timestamp, seq, round(ln((SELECT arg_min(price, seq) FROM t b WHERE b.venue = a.venue AND b.timestamp >= a.timestamp + {5 * HOUR}) / price) * 1e4, 6) AS fwd_bps FROM t a"),
-    "gap_flatten": (gap_flatten, STREAM_SQL + f" SELECT venue, stream, before AS start_ms, timestamp AS end_ms, round((timestamp - before) / 1000.0, 3) AS gap_sec FROM g WHERE timestamp - before > {GAP * 1000}"),
+    "forward_asof_own": (forward_asof_own, f"WITH {T}{TRADES} SELECT venue, timestamp, seq, (round(ln((SELECT arg_min(price, seq) FROM t b WHERE b.venue = a.venue AND b.timestamp >= a.timestamp + {5 * HOUR}) / price) * 1e4, 6) + 0.0) AS fwd_bps FROM t a"),
+    "gap_flatten": (gap_flatten, STREAM_SQL + f" SELECT venue, stream, before AS start_ms, timestamp AS end_ms, (round((timestamp - before) / 1000.0, 3) + 0.0) AS gap_sec FROM g WHERE timestamp - before > {GAP * 1000}"),
     "health_summary": (health_summary, FRESH_SQL + " SELECT status, count(*) AS n, string_agg(venue || '/' || side, ',' ORDER BY venue || '/' || side) AS who FROM st WHERE status <> 'fresh' GROUP BY status"),
     "recent_trades": (recent_trades, f"WITH {T} SELECT venue, count(*) FILTER (side = 2) AS n_trades, count(*) FILTER (side = 2) >= 10 AS ok FROM tape WHERE timestamp > (SELECT max(timestamp) FROM tape) - {24 * HOUR} GROUP BY venue"),
     "container_venues": (container_venues, "SELECT * FROM (VALUES ('rec-cc', 'cc', 'spot'), ('rec-um', 'um', 'futures'), ('rec-bj-spot', 'bj', 'spot'), ('other', 'unknown', 'unknown')) AS t(name, venue, market)"),
-    "backlog": (backlog, "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL"),
-    "spread_widths": (spread_widths, levels_sql() + TOP1 + " SELECT venue, CAST(round(spread / 0.5) AS BIGINT) AS ticks, count(*) AS n FROM top GROUP BY ALL"),
+    "backlog": (backlog, "SELECT o_orderstatus, o_orderpriority, count(*) AS n, (round(sum(o_totalprice), 2) + 0.0) AS total FROM orders GROUP BY ALL"),
+    "spread_widths": (spread_widths, levels_sql() + TOP1 + " SELECT venue, CAST((round(spread / 0.5) + 0.0) AS BIGINT) AS ticks, count(*) AS n FROM top GROUP BY ALL"),
 }

@@ -25,13 +25,13 @@ def trade_rows(spark, sf_dir, coarse=False):
 def trade_flow_window(spark, sf_dir):
     """Signed flow and count over closed windows of 1 and 6 hours, on a tape with ties."""
     t = trade_rows(spark, sf_dir, True)
-    cols = [c for h in (1, 6) for c in (F.round(win.flow(F.col("buy"), F.col("sell"), BY, h * HOUR), 6).alias(f"flow_{h}h"), win.count(F.lit(True), BY, h * HOUR).alias(f"n_{h}h"))]
+    cols = [c for h in (1, 6) for c in (S.rounded(win.flow(F.col("buy"), F.col("sell"), BY, h * HOUR), 6).alias(f"flow_{h}h"), win.count(F.lit(True), BY, h * HOUR).alias(f"n_{h}h"))]
     return t.select("venue", "timestamp", "seq", *cols)
 
 
 def trade_imbalance_window(spark, sf_dir):
     t = trade_rows(spark, sf_dir)
-    return t.select("venue", "timestamp", "seq", *[F.round(win.trade_imbalance(F.col("buy"), F.col("sell"), F.lit(True), BY, h * HOUR), 6).alias(f"imb_{h}h") for h in (1, 12)])
+    return t.select("venue", "timestamp", "seq", *[S.rounded(win.trade_imbalance(F.col("buy"), F.col("sell"), F.lit(True), BY, h * HOUR), 6).alias(f"imb_{h}h") for h in (1, 12)])
 
 
 def trade_burst_count(spark, sf_dir):
@@ -44,23 +44,23 @@ def log_return_asof(spark, sf_dir):
     """Returns over 1 h and 5 h, and the lagged form whose numerator stays the latest price."""
     t = trade_rows(spark, sf_dir)
     p = F.col("price")
-    return t.select("venue", "timestamp", "seq", F.round(win.log_return(p, BY, HOUR), 9).alias("r_1h"), F.round(win.log_return(p, BY, 5 * HOUR), 9).alias("r_5h"), F.round(win.log_return(p, BY, HOUR, HOUR), 9).alias("r_lag1"), F.round(win.log_return(p, BY, HOUR, 2 * HOUR), 9).alias("r_lag2"))
+    return t.select("venue", "timestamp", "seq", S.rounded(win.log_return(p, BY, HOUR), 9).alias("r_1h"), S.rounded(win.log_return(p, BY, 5 * HOUR), 9).alias("r_5h"), S.rounded(win.log_return(p, BY, HOUR, HOUR), 9).alias("r_lag1"), S.rounded(win.log_return(p, BY, HOUR, 2 * HOUR), 9).alias("r_lag2"))
 
 
 def realised_abs_return(spark, sf_dir):
     t = trade_rows(spark, sf_dir)
-    return t.select("venue", "timestamp", "seq", F.round(win.abs_return_sum(F.col("price"), BY, 5 * HOUR), 6).alias("vol_5h"))
+    return t.select("venue", "timestamp", "seq", S.rounded(win.abs_return_sum(F.col("price"), BY, 5 * HOUR), 6).alias("vol_5h"))
 
 
 def forward_return(spark, sf_dir):
     f = win.forward_return(trade_rows(spark, sf_dir, True).select("venue", "timestamp", "seq", "price"), BY, HOUR)
-    return f.select("venue", "timestamp", "seq", F.round("fwd_bps", 6).alias("fwd_bps"))
+    return f.select("venue", "timestamp", "seq", S.rounded("fwd_bps", 6).alias("fwd_bps"))
 
 
 def forward_return_same_ms(spark, sf_dir):
     """Horizon 0: the next row in order, even at the same time."""
     f = win.forward_return(trade_rows(spark, sf_dir, True).select("venue", "timestamp", "seq", "price"), BY, 0)
-    return f.select("venue", "timestamp", "seq", F.round("fwd_bps", 6).alias("fwd_bps"))
+    return f.select("venue", "timestamp", "seq", S.rounded("fwd_bps", 6).alias("fwd_bps"))
 
 
 DAY = 24 * HOUR
@@ -82,18 +82,18 @@ def basis_cross_venue(spark, sf_dir):
     w = W.partitionBy("segment").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     last = lambda v: F.last(F.when(F.col("venue") == v, F.col("mid")), ignorenulls=True).over(w)
     out = everyone.select("venue", "timestamp", "arrival", "emits", last("cc").alias("cc_mid"), last("bj").alias("bj_mid")).where("emits AND venue = 'cc'")
-    return out.select("timestamp", "arrival", "cc_mid", "bj_mid", F.round(S.log_bps(F.col("cc_mid"), F.col("bj_mid")), 6).alias("basis_bps"))
+    return out.select("timestamp", "arrival", "cc_mid", "bj_mid", S.rounded(S.log_bps(F.col("cc_mid"), F.col("bj_mid")), 6).alias("basis_bps"))
 
 
 def hour_encoding(spark, sf_dir):
     t = tape_from_events(spark, sf_dir)
     ms = F.col("timestamp")
-    return t.select("arrival", (F.round(S.hour_sin(ms), 9) + 0.0).alias("hour_sin"), (F.round(S.hour_cos(ms), 9) + 0.0).alias("hour_cos"))
+    return t.select("arrival", (S.rounded(S.hour_sin(ms), 9) + 0.0).alias("hour_sin"), (S.rounded(S.hour_cos(ms), 9) + 0.0).alias("hour_cos"))
 
 
 def cumulative_volume(spark, sf_dir):
     t = trade_rows(spark, sf_dir)
-    return t.select("venue", "seq", F.round(win.cumulative(F.col("buy"), BY), 6).alias("cum_buy"), F.round(win.cumulative(F.col("sell"), BY), 6).alias("cum_sell"))
+    return t.select("venue", "seq", S.rounded(win.cumulative(F.col("buy"), BY), 6).alias("cum_buy"), S.rounded(win.cumulative(F.col("sell"), BY), 6).alias("cum_sell"))
 
 
 def interarrival_gap(spark, sf_dir):
@@ -126,13 +126,13 @@ def feature_vector(spark, sf_dir):
     sell = lambda v: F.when(is_t(v), S.taker_sell(F.col("quantity"))).otherwise(0.0)
     out = m.select(
         "venue", "side", "timestamp", "arrival", "emits",
-        F.round(win.log_return(price("um"), by, HOUR), 9).alias("r_um"),
-        F.round(win.log_return(price("bj"), by, HOUR), 9).alias("r_bj"),
-        F.round(win.log_return(price("cc"), by, HOUR, HOUR), 9).alias("r_cc_lag1"),
-        F.round(win.flow(buy("um"), sell("um"), by, 5 * HOUR), 6).alias("um_flow_5"),
+        S.rounded(win.log_return(price("um"), by, HOUR), 9).alias("r_um"),
+        S.rounded(win.log_return(price("bj"), by, HOUR), 9).alias("r_bj"),
+        S.rounded(win.log_return(price("cc"), by, HOUR, HOUR), 9).alias("r_cc_lag1"),
+        S.rounded(win.flow(buy("um"), sell("um"), by, 5 * HOUR), 6).alias("um_flow_5"),
         win.count(is_t("um"), by, 5 * HOUR).alias("um_n_5"),
-        F.round(win.trade_imbalance(buy("cc"), sell("cc"), is_t("cc"), by, 2 * HOUR), 6).alias("cc_imb_2"),
-        (F.round(S.hour_sin(F.col("timestamp")), 9) + 0.0).alias("hour_sin"),
+        S.rounded(win.trade_imbalance(buy("cc"), sell("cc"), is_t("cc"), by, 2 * HOUR), 6).alias("cc_imb_2"),
+        (S.rounded(S.hour_sin(F.col("timestamp")), 9) + 0.0).alias("hour_sin"),
     )
     return out.where("emits AND venue = 'cc' AND side = 2").drop("venue", "side", "emits")
 
@@ -162,7 +162,7 @@ MERGED = f""", m AS (SELECT *, {LO.format(rows='tape')}, row_number() OVER (ORDE
 
 def mret(venue, hours, lag=0):
     then = f"(SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.timestamp <= a.timestamp - {(hours + lag) * HOUR})"
-    return f"round(ln((SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.line <= a.line) / {then}), 9)"
+    return f"(round(ln((SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.line <= a.line) / {then}), 9) + 0.0)"
 
 
 def msum(venue, expr, hours):
@@ -171,24 +171,24 @@ def msum(venue, expr, hours):
 
 FWD = "(SELECT {pick} FROM t b WHERE b.venue = a.venue AND b.seq > a.seq AND b.timestamp >= a.timestamp + {h})"
 ALL = {
-    "trade_flow_window": (trade_flow_window, f"WITH {tape_sql(True)}{TRADES} SELECT venue, timestamp, seq, " + ", ".join(f"round({sum_sql('sum(buy - sell)', h)}, 6) AS flow_{h}h, {sum_sql('count(*)', h)} AS n_{h}h" for h in (1, 6)) + " FROM t a"),
-    "trade_imbalance_window": (trade_imbalance_window, f"WITH {tape_sql()}{TRADES} SELECT venue, timestamp, seq, " + ", ".join(f"round({sum_sql('(round(sum(buy), 9) - round(sum(sell), 9)) / (round(sum(buy), 9) + round(sum(sell), 9))', h)}, 6) AS imb_{h}h" for h in (1, 12)) + " FROM t a"),
+    "trade_flow_window": (trade_flow_window, f"WITH {tape_sql(True)}{TRADES} SELECT venue, timestamp, seq, " + ", ".join(f"(round({sum_sql('sum(buy - sell)', h)}, 6) + 0.0) AS flow_{h}h, {sum_sql('count(*)', h)} AS n_{h}h" for h in (1, 6)) + " FROM t a"),
+    "trade_imbalance_window": (trade_imbalance_window, f"WITH {tape_sql()}{TRADES} SELECT venue, timestamp, seq, " + ", ".join(f"(round({sum_sql('((round(sum(buy), 9) + 0.0) - (round(sum(sell), 9) + 0.0)) / ((round(sum(buy), 9) + 0.0) + (round(sum(sell), 9) + 0.0))', h)}, 6) + 0.0) AS imb_{h}h" for h in (1, 12)) + " FROM t a"),
     "trade_burst_count": (trade_burst_count, f"WITH {tape_sql(True)}{TRADES} SELECT venue, timestamp, seq, {sum_sql('count(*)', 1, closed=False)} AS burst FROM t a"),
-    "log_return_asof": (log_return_asof, f"WITH {tape_sql()}{TRADES} SELECT venue, timestamp, seq, round(ln(price / {then_sql(1)}), 9) AS r_1h, round(ln(price / {then_sql(5)}), 9) AS r_5h, round(ln(price / {then_sql(2)}), 9) AS r_lag1, round(ln(price / {then_sql(3)}), 9) AS r_lag2 FROM t a"),
-    "realised_abs_return": (realised_abs_return, f"WITH {tape_sql()}, t AS (SELECT *, coalesce(abs(ln(price / lag(price) OVER (PARTITION BY venue ORDER BY seq))), 0.0) AS step FROM tape WHERE side = 2) SELECT venue, timestamp, seq, round({sum_sql('sum(step)', 5)}, 6) AS vol_5h FROM t a"),
-    "forward_return": (forward_return, f"WITH {tape_sql(True)}{TRADES} SELECT venue, timestamp, seq, round(ln({FWD.format(pick='arg_min(price, seq)', h=HOUR)} / price) * 10000.0, 6) AS fwd_bps FROM t a"),
-    "forward_return_same_ms": (forward_return_same_ms, f"WITH {tape_sql(True)}{TRADES} SELECT venue, timestamp, seq, round(ln({FWD.format(pick='arg_min(price, seq)', h=0)} / price) * 10000.0, 6) AS fwd_bps FROM t a"),
+    "log_return_asof": (log_return_asof, f"WITH {tape_sql()}{TRADES} SELECT venue, timestamp, seq, (round(ln(price / {then_sql(1)}), 9) + 0.0) AS r_1h, (round(ln(price / {then_sql(5)}), 9) + 0.0) AS r_5h, (round(ln(price / {then_sql(2)}), 9) + 0.0) AS r_lag1, (round(ln(price / {then_sql(3)}), 9) + 0.0) AS r_lag2 FROM t a"),
+    "realised_abs_return": (realised_abs_return, f"WITH {tape_sql()}, t AS (SELECT *, coalesce(abs(ln(price / lag(price) OVER (PARTITION BY venue ORDER BY seq))), 0.0) AS step FROM tape WHERE side = 2) SELECT venue, timestamp, seq, (round({sum_sql('sum(step)', 5)}, 6) + 0.0) AS vol_5h FROM t a"),
+    "forward_return": (forward_return, f"WITH {tape_sql(True)}{TRADES} SELECT venue, timestamp, seq, (round(ln({FWD.format(pick='arg_min(price, seq)', h=HOUR)} / price) * 10000.0, 6) + 0.0) AS fwd_bps FROM t a"),
+    "forward_return_same_ms": (forward_return_same_ms, f"WITH {tape_sql(True)}{TRADES} SELECT venue, timestamp, seq, (round(ln({FWD.format(pick='arg_min(price, seq)', h=0)} / price) * 10000.0, 6) + 0.0) AS fwd_bps FROM t a"),
     "basis_cross_venue": (basis_cross_venue, levels_sql() + TOP1 + """, keyed AS (
   SELECT top.venue, top.timestamp, top.seq, mid, arrival, side FROM top JOIN tape USING (venue, seq)
 ), lined AS (SELECT *, """ + LO.format(rows="keyed") + """, row_number() OVER (ORDER BY timestamp, side DESC, venue, arrival) AS line FROM keyed
 ), mids AS (SELECT a.timestamp, a.arrival, (SELECT arg_max(mid, line) FROM lined b WHERE b.venue = 'cc' AND b.timestamp >= a.lo AND b.line <= a.line) AS cc_mid,
   (SELECT arg_max(mid, line) FROM lined b WHERE b.venue = 'bj' AND b.timestamp >= a.lo AND b.line <= a.line) AS bj_mid FROM lined a WHERE a.venue = 'cc')
-SELECT *, round(ln(cc_mid / bj_mid) * 10000.0, 6) AS basis_bps FROM mids"""),
+SELECT *, (round(ln(cc_mid / bj_mid) * 10000.0, 6) + 0.0) AS basis_bps FROM mids"""),
     "hour_encoding": (hour_encoding, f"WITH {tape_sql()} SELECT arrival, round(sin(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0), 9) + 0.0 AS hour_sin, round(cos(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0), 9) + 0.0 AS hour_cos FROM tape"),
-    "cumulative_volume": (cumulative_volume, f"WITH {tape_sql()}{TRADES} SELECT venue, seq, round(sum(buy) OVER w, 6) AS cum_buy, round(sum(sell) OVER w, 6) AS cum_sell FROM t WINDOW w AS (PARTITION BY venue ORDER BY seq)"),
+    "cumulative_volume": (cumulative_volume, f"WITH {tape_sql()}{TRADES} SELECT venue, seq, (round(sum(buy) OVER w, 6) + 0.0) AS cum_buy, (round(sum(sell) OVER w, 6) + 0.0) AS cum_sell FROM t WINDOW w AS (PARTITION BY venue ORDER BY seq)"),
     "interarrival_gap": (interarrival_gap, f"WITH {tape_sql()} SELECT * FROM (SELECT venue, seq, lead(timestamp) OVER (PARTITION BY venue ORDER BY seq) - timestamp AS gap_ms FROM tape) WHERE gap_ms IS NOT NULL"),
     "venue_health": (venue_health, f"WITH {tape_sql()} SELECT venue, max(timestamp) AS last_trade, max(timestamp) >= (SELECT max(timestamp) FROM tape) - {2 * HOUR} AS healthy FROM tape WHERE side = 2 GROUP BY venue"),
     "sorted_check": (sorted_check, f"WITH {tape_sql()} SELECT venue, bool_and(ok) AS ts_sorted, min(timestamp) AS ts_min, max(timestamp) AS ts_max FROM (SELECT *, coalesce(timestamp >= lag(timestamp) OVER (PARTITION BY venue ORDER BY arrival), true) AS ok FROM tape) GROUP BY venue"),
-    "feature_vector": (feature_vector, f"WITH {tape_sql()}{MERGED} SELECT timestamp, arrival, {mret('um', 1)} AS r_um, {mret('bj', 1)} AS r_bj, {mret('cc', 1, 1)} AS r_cc_lag1, round(coalesce({msum('um', 'sum(buy - sell)', 5)}, 0), 6) AS um_flow_5, {msum('um', 'count(*)', 5)} AS um_n_5, round(coalesce({msum('cc', '(round(sum(buy), 9) - round(sum(sell), 9)) / (round(sum(buy), 9) + round(sum(sell), 9))', 2)}, 0), 6) AS cc_imb_2, round(sin(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0), 9) + 0.0 AS hour_sin FROM mt a WHERE venue = 'cc'"),
+    "feature_vector": (feature_vector, f"WITH {tape_sql()}{MERGED} SELECT timestamp, arrival, {mret('um', 1)} AS r_um, {mret('bj', 1)} AS r_bj, {mret('cc', 1, 1)} AS r_cc_lag1, (round(coalesce({msum('um', 'sum(buy - sell)', 5)}, 0), 6) + 0.0) AS um_flow_5, {msum('um', 'count(*)', 5)} AS um_n_5, (round(coalesce({msum('cc', '((round(sum(buy), 9) + 0.0) - (round(sum(sell), 9) + 0.0)) / ((round(sum(buy), 9) + 0.0) + (round(sum(sell), 9) + 0.0))', 2)}, 0), 6) + 0.0) AS cc_imb_2, round(sin(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0), 9) + 0.0 AS hour_sin FROM mt a WHERE venue = 'cc'"),
     "grid_sequence": (grid_sequence, f"WITH {tape_sql()}{TRADES}, c AS (SELECT * FROM t WHERE venue = 'cc'), g AS (SELECT unnest(range(12)) AS step, (SELECT max(timestamp) FROM c) AS latest) SELECT 'cc' AS venue, CAST(step AS INTEGER) AS step, (SELECT arg_max(price, seq) FROM c WHERE c.timestamp <= g.latest - g.step * {HOUR}) AS price FROM g"),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions import scalars as S
 from tickloom.operators import recon
 
 #: Column, type and NOT NULL of each kind of event.
@@ -84,4 +85,4 @@ def calibration(fills: DataFrame, matches: DataFrame, simulated: DataFrame, canc
     ratio = (F.col("n_real") > 5) & ((F.col("n_sim") < F.col("n_real") * 0.5) | (F.col("n_sim") > F.col("n_real") * 2.0))
     issues = F.array_compact(F.array(F.when(F.col("match_rate") < 0.7, "fill_match_rate"), F.when(ratio, "fill_count_ratio"), F.when(F.abs("adverse_delta_1s_bps") > 0.3, "adverse_1s"), F.when(F.abs("cancel_delta_p50_ms") > sim_cancel_ms * 0.5, "cancel_latency")))
     scale = F.when((F.col("n_sim") > 0) & (F.col("n_real") > 0), F.col("n_real") / F.col("n_sim")).otherwise(1.0)
-    return out.withColumn("issues", issues).withColumn("verdict", recon.verdict(F.size("issues"))).withColumn("queue_scaling", F.when(F.abs(scale - 1.0) > 0.05, F.round(scale, 3)).otherwise(1.0))
+    return out.withColumn("issues", issues).withColumn("verdict", recon.verdict(F.size("issues"))).withColumn("queue_scaling", F.when(F.abs(scale - 1.0) > 0.05, S.rounded(scale, 3)).otherwise(1.0))
