@@ -51,7 +51,9 @@ ORDER, BITS, FOLDS = 4, 16, 2
 START, RARE, FIRST = 0, 1, 2
 BROADCAST_GRAMS = 2_000_000
 #: Characters that are turned into arrays at once, and characters of a block in the sharded scoring.
-CHARS, BLOCK_CHARS = 1_000_000, 12_000_000
+CHARS, BLOCK_CHARS = 250_000, 12_000_000
+#: N-grams whose counts a task holds for each kind of text before it sums them.
+HELD = 1_000_000
 LEAST = -(2**63)
 #: Bins of a unit of log-perplexity, or of repetition, in the quantiles.
 BINS = 10_000
@@ -166,33 +168,38 @@ def count_grams(docs: DataFrame, text: str, spread) -> DataFrame:
     names = [f"n{i}" for i in range(FOLDS)]
 
     def run(batches):
-        codes, counts, held = [], [], 0
+        held = [[] for _ in range(FOLDS + 1)]  # (codes, counts) of the trusted text of either fold, and of the rest
+        sizes = [0] * (FOLDS + 1)
         for pdf in batches:
             fold = pdf["_fold"].where(pdf["_trusted"], FOLDS).to_numpy()
             for f in range(FOLDS + 1):
                 texts = [x for x in pdf["_text"][fold == f] if isinstance(x, str) and x]
                 for a, b in slices(texts):
                     for code, _ in pieces(texts[a:b], spread.value[0]):
-                        c, n = np.unique(code, return_counts=True)
-                        codes.append(c)
-                        counts.append(np.where(np.arange(FOLDS) == f, n[:, None], 0))
-                        held += len(c)
-                        if held > 4_000_000:
-                            codes[:], counts[:] = ([x] for x in summed(codes, counts))
-                            held = len(codes[0])
-        if codes:
-            c, n = summed(codes, counts)
-            for i in range(0, len(c), 200_000):
-                yield pd.DataFrame({"code": c[i : i + 200_000]} | {name: n[i : i + 200_000, j] for j, name in enumerate(names)})
+                        held[f].append(np.unique(code, return_counts=True))
+                        sizes[f] += len(held[f][-1][0])
+                        if sizes[f] > HELD:
+                            held[f] = [summed(held[f])]
+                            sizes[f] = len(held[f][0][0])
+                            if sizes[f] > HELD // 2:  # hardly anything repeats: go on without
+                                yield from told(f, *held[f].pop())
+                                sizes[f] = 0
+        for f, found in enumerate(held):
+            if found:
+                yield from told(f, *summed(found))
+
+    def told(f, codes, counts):
+        for i in range(0, len(codes), 100_000):
+            none = np.zeros(len(codes[i : i + 100_000]), np.int64)
+            yield pd.DataFrame({"code": codes[i : i + 100_000]} | {name: counts[i : i + 100_000] if j == f else none for j, name in enumerate(names)})
 
     schema = ", ".join(f"{c} long" for c in ("code", *names))
     return docs.select(F.col(text).alias("_text"), "_trusted", "_fold").mapInPandas(run, schema).groupBy("code").agg(*(F.sum(c).alias(c) for c in names))
 
 
-def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    c, at = np.unique(np.concatenate(codes), return_inverse=True)
-    flat = np.concatenate(counts)
-    return c, np.stack([np.bincount(at, weights=flat[:, j], minlength=len(c)).astype(np.int64) for j in range(FOLDS)], 1)
+def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    c, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return c, np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(c)).astype(np.int64)
 
 
 def suffix(code, order: int):
@@ -220,9 +227,9 @@ def train(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     many: dict[tuple[int, int], dict[int, int]] = {(m, o): {} for m in range(FOLDS) for o in range(1, ORDER + 1)}
     for r in levels.where("c <= 4").groupBy("m", "o", "c").count().collect():
         many[r["m"], r["o"]][r["c"]] = r["count"]
-    off = levels.sparkSession.createDataFrame([(*k, *discounts(n)) for k, n in many.items()], "m int, o int, d1 double, d2 double, d3 double")
-    less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = levels.join(F.broadcast(off), ["m", "o"]).select("m", "o", "code", "c", less.alias("less"), F.shiftrightunsigned("code", BITS).alias("context"))
+    off = F.array(*(F.lit(float(d)) for m in range(FOLDS) for o in range(1, ORDER + 1) for d in discounts(many[m, o])))
+    at = (F.col("m") * ORDER + F.col("o") - 1) * 3 + F.least(F.col("c"), F.lit(3)) - 1
+    rows = levels.select("m", "o", "code", "c", F.get(off, at.cast("int")).alias("less"), F.shiftrightunsigned("code", BITS).alias("context"))
     gammas = cut(rows.groupBy("m", "o", "context").agg(F.sum("c").alias("total"), (F.sum("less") / F.sum("c")).alias("gamma")))
     shares = rows.join(gammas.drop("gamma"), ["m", "o", "context"]).select("m", "o", "code", ((F.col("c") - F.col("less")) / F.col("total")).alias("p0"))
     return cut(shares), gammas.drop("total")
