@@ -10,8 +10,8 @@ import numpy as np
 import pandas as pd
 
 PACKED = "shard int, keys binary, items binary"
-#: Pairs of a shard that a task handles at once, about 60 MB of arrays.
-PER_SHARD = 1_000_000
+#: Pairs of a shard that a task handles at once, about 30 MB of arrays.
+PER_SHARD = 500_000
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 

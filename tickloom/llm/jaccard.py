@@ -58,7 +58,7 @@ CELL_ROWS = 2000
 #: What is shipped of an item's name beside a signature: two items with one tag only add candidates.
 TAG = (1 << 48) - 1
 #: Distinct items that a task remembers to sign each only once.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 LEAST = -(2**63)
 
 
@@ -129,7 +129,7 @@ def sets_of(texts) -> list[np.ndarray]:
     return [shingle_set(w) for _, w in words_of([x.encode() if isinstance(x, str) else b"" for x in texts])]
 
 
-def chunks(pdf: pd.DataFrame, text: str = "_text", rows: int = 1000, chars: int = 4_000_000):
+def chunks(pdf: pd.DataFrame, text: str = "_text", rows: int = 250, chars: int = 500_000):
     """Parts of a batch with bounded text."""
     start = total = 0
     sizes = [len(x) if isinstance(x, str) else 0 for x in pdf[text]]

@@ -53,7 +53,7 @@ BROADCAST_GRAMS = 2_000_000
 #: Characters that are turned into arrays at once, and characters of a block in the sharded scoring.
 CHARS, BLOCK_CHARS = 250_000, 12_000_000
 #: N-grams whose counts a task holds for each kind of text before it sums them.
-HELD = 1_000_000
+HELD = 500_000
 LEAST = -(2**63)
 #: Bins of a unit of log-perplexity, or of repetition, in the quantiles.
 BINS = 10_000

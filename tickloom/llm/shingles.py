@@ -15,7 +15,7 @@ from tickloom.llm.collide import GOLD, mix64
 
 WIDTH = 5
 #: Bytes of text that are turned into arrays at once.
-BYTES = 3_000_000
+BYTES = 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * GOLD)
