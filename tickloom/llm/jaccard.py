@@ -51,6 +51,8 @@ SECOND, OUT, BLOCK = 3, 1, 2048
 BROADCAST_PLACES = 500_000
 #: Groups fall into PARTS by hash; at most COVERS of these are covered, one after another, and LEADERS may take an item.
 PARTS, COVERS, LEADERS = 32, 3, 8
+#: The first groups of an item that its rows carry, to try a pair that meets in many groups in one of them.
+MARKS = 8
 #: Pairs of groups for each of their rows up to which all are tried at once.
 PER_ITEM = 16
 #: Rows of a task that compares the items of groups.
@@ -250,11 +252,13 @@ def plausible(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(run, "a long, b long")
 
 
-def close_pairs(item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.ndarray, sketches: list[bytes], percent: int, cover: bool) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(group: int, item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.ndarray, sketches: list[bytes], marks: np.ndarray, percent: int, cover: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a cell's items across components, and across halves if it has two (0 and 1; -1: it has one), that
-    sizes and sketches don't rule out: all of them, or (`cover`) those of leaders with the items that they take."""
+    sizes and sketches don't rule out: those of leaders with the items that they take (`cover`), or all. All but those
+    whose marks (the first groups of an item, ascending) say that they meet in an earlier group."""
     order = np.argsort(size, kind="stable")
-    item, comp, half, size = item[order], comp[order], half[order], size[order]
+    item, comp, half, size, marks = item[order], comp[order], half[order], size[order], marks[order]
+    end = np.iinfo(np.int64).max
     lev = level(size)
     rows = {x: np.frombuffer(b"".join(sketches[i] for i in order[lev == x]), np.uint64).reshape(int((lev == x).sum()), -1) for x in np.unique(lev).tolist()}
     folded = {x - 1: fold(m) for x, m in rows.items() if m.shape[1] > 1}
@@ -280,6 +284,10 @@ def close_pairs(item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.n
             j = j[far <= most_different(size[j], size[i], percent)]
             if cover:
                 taken[j] += 1
+            else:
+                both = (marks[j][:, :, None] == marks[i][None, None, :]).any(2)
+                at = np.where(both, marks[j], end).min(1, initial=end)
+                j = j[(at == end) | (at == group)]
             left.append(np.full(len(j), item[i]))
             right.append(item[j])
     return np.concatenate(left), np.concatenate(right)
@@ -294,11 +302,10 @@ def split_groups(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataF
     return rows, cut(split.where("_comps > 1").drop("_comps"))
 
 
-def in_cells(rows: DataFrame, split: DataFrame) -> DataFrame:
-    """The items of split groups in cells (_group, _cell) with their _half: a group of up to two blocks is one cell. In
+def in_cells(rows: DataFrame) -> DataFrame:
+    """The items of split groups, joined to what is known of these, in cells (_group, _cell) with their _half: a group of up to two blocks is one cell. In
     a larger one, blocks of the largest component (T) meet those of the others (O), and those of the others each other."""
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    rows = rows.join(split, "_group")
     tops, others = blocks(F.col("_most")), blocks(F.col("_n") - F.col("_most"))
     is_top = F.col("component") == F.col("_top")
     rows = rows.withColumn("_t", tops).withColumn("_o", others).withColumn("_b", F.pmod(F.xxhash64("_item"), F.when(is_top, tops).otherwise(others)).cast("int"))
@@ -312,24 +319,33 @@ def in_cells(rows: DataFrame, split: DataFrame) -> DataFrame:
 
 def across(rows: DataFrame, split: DataFrame, items: DataFrame, percent: int, cover: bool, tried: DataFrame) -> DataFrame:
     """Pairs (a < b) of groups' items in different components that may link and were not tried: all, or a cover."""
-    full = cut(in_cells(rows, split))
+    rows = rows.join(split, "_group")
+    full = cut(in_cells(rows))
     buckets = max(1, -(-full.count() // CELL_ROWS))
-    wide = full.join(items.select("_item", "n_shingles", "_sketch"), "_item").withColumn("bucket", F.pmod(F.xxhash64("_group", "_cell"), F.lit(buckets)).cast("int"))
+    known = items.select("_item", "n_shingles", "_sketch")
+    if cover:
+        known = known.withColumn("_marks", F.array().cast("array<long>"))
+    else:
+        known = known.join(rows.groupBy("_item").agg(F.slice(F.sort_array(F.collect_set("_group")), 1, MARKS).alias("_marks")), "_item")
+    wide = full.join(known, "_item").withColumn("bucket", F.pmod(F.xxhash64("_group", "_cell"), F.lit(buckets)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_group", "_x", "_y", "_item"], kind="stable")
         cell = pdf[["_group", "_x", "_y"]].to_numpy()
         item, comp, half = pdf["_item"].to_numpy(), pdf["component"].to_numpy(), pdf["_half"].to_numpy()
         size, sketches = pdf["n_shingles"].to_numpy(), pdf["_sketch"].tolist()
+        marks = -1 - np.arange(len(pdf) * MARKS, dtype=np.int64).reshape(-1, MARKS)  # what is missing is like nothing else
+        for row, known in zip(marks, pdf["_marks"], strict=True):
+            row[: len(known)] = known
         starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
         left, right = [], []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
-            x, y = close_pairs(item[a:b], comp[a:b], half[a:b], size[a:b], sketches[a:b], percent, cover)
+            x, y = close_pairs(int(cell[a, 0]), item[a:b], comp[a:b], half[a:b], size[a:b], sketches[a:b], marks[a:b], percent, cover)
             left.append(np.minimum(x, y))
             right.append(np.maximum(x, y))
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
-    wide = wide.select("_group", F.col("_cell.x").alias("_x"), F.col("_cell.y").alias("_y"), "_item", "component", "_half", "n_shingles", "_sketch", "bucket")
+    wide = wide.select("_group", F.col("_cell.x").alias("_x"), F.col("_cell.y").alias("_y"), "_item", "component", "_half", "n_shingles", "_sketch", "_marks", "bucket")
     return wide.groupBy("bucket").applyInPandas(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
 
