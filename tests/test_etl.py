@@ -193,3 +193,10 @@ def test_packed_depth_holds_every_order_to_its_depth(spark):
     got = [tuple(r) for r in registry.queries()["packed_depth"](spark, sf).collect()]
     assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
     assert any(r[7] is not None for r in got)
+
+
+def test_agg_trades_unit_is_told_by_file(spark, tmp_path):
+    for name, at in (("ms", 1_700_000_000_000), ("us", 1_700_000_001_000_000), ("s", 1_700_000_002)):
+        (tmp_path / f"{name}.csv").write_text(f"1,100.0,1.0,1,1,{at},True,True\n")
+    got = sorted(r.timestamp for r in etl.read_agg_trades(spark, str(tmp_path)).collect())
+    assert got == [1_700_000_000_000, 1_700_000_001_000, 1_700_000_002_000]

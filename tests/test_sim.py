@@ -125,3 +125,27 @@ def test_backtest_is_one_session_over_all_days(spark):
     got = registry.queries()["maker_backtest"](spark, sf).drop("session").collect()
     cell = lambda v: "nan" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
     assert [[cell(v) for v in r] for r in got] == [[cell(v) for v in r] for r in want] and len(got) > 10
+
+
+def test_book_metric_means_equal_a_plain_mean(spark):
+    from tickloom.plans import registry
+    from tickloom.sources.driver_tables import HOUR
+
+    sf = "/root/testdata/sf0.001"
+    samples = registry.queries()["book_metrics_throttled"](spark, sf).collect()
+    got = {(r.venue, r.seq): r for r in registry.queries()["book_metric_means"](spark, sf).collect()}
+    assert got.keys() == {(r.venue, r.seq) for r in samples} and got
+    for r in samples:
+        for name in ("top1_imb", "topn_imb", "micro_dev_bps"):
+            inside = [s[name] for s in samples if s.venue == r.venue and s.seq <= r.seq and s.timestamp >= r.timestamp - 12 * HOUR]
+            assert abs(got[r.venue, r.seq][f"{name}_mean"] - sum(inside) / len(inside)) < 5e-6
+
+
+def test_trailing_mean_skips_what_is_missing(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import windows as win
+
+    rows = spark.createDataFrame([("v", 0, 1, None), ("v", 10, 2, float("nan")), ("v", 20, 3, 2.0), ("v", 30, 4, 4.0), ("v", 90, 5, None)], "venue string, timestamp long, seq long, x double")
+    got = [r.m for r in rows.select("seq", win.trailing_mean(F.col("x"), ["venue"], 50).alias("m")).orderBy("seq").collect()]
+    assert got == [None, None, 2.0, 3.0, None]

@@ -44,6 +44,38 @@ def test_snapshots_are_injected_at_boundaries(spark, tmp_path):
     assert sorted((r.ts_ms, r.side, r.price) for r in rows) == [(100, 0, 99.0), (200, 1, 101.0), (1000, 3, 99.0), (1000, 4, 101.0), (1100, 0, 98.0)]
 
 
+def test_a_snapshot_over_two_batches_stays_whole(spark, tmp_path):
+    """Both halves of a snapshot are in the book that is injected later, and in the top of the book."""
+    halves = [[(100, 3, 99.0, 1.0, 0, 0), (100, 4, 101.0, 1.0, 0, 0)], [(100, 3, 98.0, 2.0, 0, 0), (100, 4, 102.0, 2.0, 0, 0)], [(1100, 2, 99.0, 1.0, 0, 0)]]
+    land(tmp_path / "in", halves)
+    rows = drain(spark, ts.with_snapshots(ts.read_live(spark, str(tmp_path / "in"), 1), 1000), tmp_path, "halves")
+    assert sorted((r.side, r.price, r.qty) for r in rows if r.ts_ms == 1000) == [(3, 98.0, 2.0), (3, 99.0, 1.0), (4, 101.0, 1.0), (4, 102.0, 2.0)]
+    tops = drain(spark, ts.tops(ts.read_live(spark, str(tmp_path / "in"), 1)), tmp_path, "halftops")
+    assert [(r.best_bid, r.best_ask) for r in tops] == [(99.0, 101.0)]
+
+
+def test_fan_out_writes_every_row_once(spark, tmp_path):
+    land(tmp_path / "in", [[(1, 0, 99.0, 1.0, 0, 0)], [(2, 0, 98.0, 1.0, 0, 0)]])
+    seen = []
+    q = ts.fan_out(ts.read_live(spark, str(tmp_path / "in"), 1), lambda df, epoch: seen.append([json.loads(r.value)["price"] for r in df.collect()]), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(sum(seen, [])) == [98.0, 99.0]
+
+
+def test_watchdog_tells_of_a_silent_channel_once(spark, tmp_path):
+    land(tmp_path / "in", [[(1, 0, 99.0, 1.0, 0, 0), (2, 2, 99.0, 1.0, 0, 0)]])
+    q = ts.watchdog(ts.read_live(spark, str(tmp_path / "in"), 1), depth_ms=500, trade_ms=600_000).writeStream.format("memory").queryName("dog").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            q.awaitTermination(1)
+            if spark.table("dog").count():
+                break
+    finally:
+        q.stop()
+    assert [(r.channel, r.last_ts_ms) for r in spark.table("dog").collect()] == [("depth", 1)]
+
+
 def test_windows_and_restart(spark, tmp_path):
     land(tmp_path / "in", [[(1_000, 2, 1.0, -2.0, 0, 0), (2_000, 2, 1.0, 1.0, 0, 0)], [(60_000, 2, 1.0, 1.0, 0, 0)], [(200_000, 2, 1.0, 1.0, 0, 0)]])
     rows = drain(spark, ts.windows(ts.read_live(spark, str(tmp_path / "in"), 1), "10 seconds"), tmp_path, "win")

@@ -17,11 +17,11 @@ QUOTES = ("update_id", "best_bid_price", "best_bid_qty", "best_ask_price", "best
 
 
 def read_agg_trades(spark: SparkSession, path: str) -> DataFrame:
-    """Aggregate-trade CSV with or without a header row, times in ms whatever the file's unit."""
-    rows = spark.read.schema(AGG_TRADES.replace("agg_trade_id long", "agg_trade_id string")).option("mode", "PERMISSIVE").csv(path)
+    """Aggregate-trade CSV with or without a header row, times in ms whatever the unit of each file."""
+    rows = spark.read.schema(AGG_TRADES.replace("agg_trade_id long", "agg_trade_id string")).option("mode", "PERMISSIVE").csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
     rows = rows.where(F.col("agg_trade_id").rlike(r"^\d+$")).withColumn("agg_trade_id", F.col("agg_trade_id").cast("long"))
-    top = rows.agg(F.max("timestamp").alias("_top"))  # one row
-    return rows.crossJoin(F.broadcast(top)).withColumn("timestamp", epoch_ms(F.col("timestamp"), F.col("_top"))).drop("_top")
+    top = rows.groupBy("_file").agg(F.max("timestamp").alias("_top"))  # one row a file
+    return rows.join(top, "_file").withColumn("timestamp", epoch_ms(F.col("timestamp"), F.col("_top"))).drop("_top", "_file")
 
 
 def agg_trades_to_tape(trades: DataFrame) -> DataFrame:

@@ -36,6 +36,13 @@ def trade_imbalance(buy: Column, sell: Column, flag: Column, by: list[str], widt
     return F.when(count(flag, by, width_ms) > 0, (b - s) / (b + s)).otherwise(F.lit(0.0))
 
 
+def trailing_mean(value: Column, by: list[str], width_ms: int) -> Column:
+    """The mean over the closed window of the values that are there: neither null nor NaN. Null if there are none."""
+    there = value.isNotNull() & ~F.isnan(value)
+    n = count(there, by, width_ms)
+    return F.when(n > 0, trailing(F.when(there, value).otherwise(0.0), by, width_ms) / n)
+
+
 def latest(value: Column, by: list[str]) -> Column:
     """The last value that is not null, up to this row."""
     return F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy("seq").rowsBetween(W.unboundedPreceding, 0))

@@ -37,6 +37,12 @@ def book_metrics_throttled(spark, sf_dir):
     return m.select("venue", "timestamp", "seq", *[S.rounded(c, 6).alias(c) for c in ("top1_imb", "topn_imb", "micro_dev_bps")])
 
 
+def book_metric_means(spark, sf_dir):
+    """Trailing means over 12 hours of the throttled book metrics, at every sample."""
+    m = K.book_metrics(tape(spark, sf_dir), BY, ms=2 * HOUR)
+    return m.select("venue", "timestamp", "seq", *[S.rounded(win.trailing_mean(F.col(c), BY, 12 * HOUR), 6).alias(f"{c}_mean") for c in ("top1_imb", "topn_imb", "micro_dev_bps")])
+
+
 def simulated_lines(spark, sf_dir):
     """The tape as market rows, with a placement at every fifth trade and its cancellation an hour later."""
     t = tape(spark, sf_dir)
@@ -86,6 +92,7 @@ ALL = {
     "book_resolved_top": (book_resolved_top, None),
     "throttle": (throttle, f"WITH RECURSIVE {tape_sql()}, b AS (SELECT venue, timestamp FROM tape WHERE side <> 2), acc AS (SELECT venue, min(timestamp) AS timestamp FROM b GROUP BY venue UNION ALL SELECT a.venue, (SELECT min(b.timestamp) FROM b WHERE b.venue = a.venue AND b.timestamp >= a.timestamp + {6 * HOUR}) FROM acc a WHERE a.timestamp IS NOT NULL) SELECT venue, timestamp FROM acc WHERE timestamp IS NOT NULL"),
     "book_metrics_throttled": (book_metrics_throttled, None),
+    "book_metric_means": (book_metric_means, None),
     "session_replay": (session_replay, None),
     "maker_backtest": (maker_backtest, None),
     "maker_backtest_report": (maker_backtest_report, None),

@@ -108,8 +108,9 @@ def with_snapshots(live: DataFrame, every_ms: int) -> DataFrame:
     each shard of output can be replayed on its own. Event time drives it, so a replay gives the same rows."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"bids": [], "asks": [], "cell": None}
+        held = json.loads(state.get[0]) if state.exists else {"bids": [], "asks": [], "cell": None, "snap": [None, None]}
         book = Book(clear=True)
+        book.snap_ts = held["snap"]  # a snapshot may go on in the next micro-batch
         book.levels[0].update(dict(map(tuple, held["bids"])))
         book.levels[1].update(dict(map(tuple, held["asks"])))
         rows = pd.concat(list(pdfs)).reset_index(drop=True).assign(_s=lambda d: -d["side"].astype(int)).sort_values(["ts_ms", "_s"], kind="stable")
@@ -122,7 +123,7 @@ def with_snapshots(live: DataFrame, every_ms: int) -> DataFrame:
             held["cell"] = cell if held["cell"] is None else max(cell, held["cell"])
             book.apply(int(r.ts_ms), int(r.side), float(r.price), float(r.qty))
             out.append((*key, int(r.ts_ms), int(r.side), float(r.price), float(r.qty)))
-        held.update(bids=list(book.levels[0].items()), asks=list(book.levels[1].items()))
+        held.update(bids=list(book.levels[0].items()), asks=list(book.levels[1].items()), snap=book.snap_ts)
         state.update((json.dumps(held),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SHARD.split(", ")])
 
