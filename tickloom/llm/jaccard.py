@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.collide import GOLD, PACKED, mix64, pack, shared, shards_for
 from tickloom.llm.components import components
+from tickloom.llm.memory import lean, lean_group
 from tickloom.llm.shingles import far_apart, fold, level, set_id, shingle_set, sketch, words_of
 from tickloom.session import cut
 
@@ -157,7 +158,7 @@ def describe(docs: DataFrame, text: str, key: str) -> DataFrame:
                 out["_sketch"] = [sketch(s) if len(s) else None for s in sets]
                 yield out
 
-    return keyed(docs, text, key).mapInPandas(run, "_id long, _doc long, _hash long, n_shingles long, _item long, _sketch binary")
+    return keyed(docs, text, key).mapInPandas(lean(run), "_id long, _doc long, _hash long, n_shingles long, _item long, _sketch binary")
 
 
 def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -193,8 +194,8 @@ def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int) -
         rows = [(g, i // BLOCK, items[a], items[a + i : a + min(n, i + BLOCK)], w) for g, a, n, w in zip(name.astype(np.int64).tolist(), start[at].tolist(), size[at].tolist(), weight.tolist(), strict=True) for i in range(0, n, BLOCK)]
         return pd.DataFrame(rows, columns=["_group", "_block", "_head", "_tags", "_weight"])
 
-    packed = keyed(docs, text, key).mapInPandas(sign, PACKED)
-    found = packed.groupBy("shard").applyInPandas(meet, "_group long, _block int, _head long, _tags array<long>, _weight long")
+    packed = keyed(docs, text, key).mapInPandas(lean(sign), PACKED)
+    found = packed.groupBy("shard").applyInPandas(lean_group(meet), "_group long, _block int, _head long, _tags array<long>, _weight long")
     return cut(found.groupBy("_group", "_block").agg(F.first("_head").alias("_head"), F.first("_tags").alias("_tags"), F.sum("_weight").alias("_weight")))
 
 
@@ -235,7 +236,7 @@ def verified(pairs: DataFrame, items: DataFrame, docs: DataFrame, text: str, key
                 out.append((lead, i))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return cut(texts.mapInPandas(ship, "bucket int, lead long, item long, data binary").groupBy("bucket").applyInPandas(check, "a long, b long"))
+    return cut(texts.mapInPandas(lean(ship), "bucket int, lead long, item long, data binary").groupBy("bucket").applyInPandas(lean_group(check), "a long, b long"))
 
 
 def plausible(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -249,7 +250,7 @@ def plausible(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
             far = np.array([far_apart(x, y) for x, y in zip(pdf["s_a"], pdf["s_b"], strict=True)], np.int64)
             yield pdf.loc[far <= most_different(pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy(), percent), ["a", "b"]]
 
-    return wide.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(run, "a long, b long")
+    return wide.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(lean(run), "a long, b long")
 
 
 def close_pairs(group: int, item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.ndarray, sketches: list[bytes], marks: np.ndarray, percent: int, cover: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +347,7 @@ def across(rows: DataFrame, split: DataFrame, items: DataFrame, percent: int, co
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
     wide = wide.select("_group", F.col("_cell.x").alias("_x"), F.col("_cell.y").alias("_y"), "_item", "component", "_half", "n_shingles", "_sketch", "_marks", "bucket")
-    return wide.groupBy("bucket").applyInPandas(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    return wide.groupBy("bucket").applyInPandas(lean_group(run), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:

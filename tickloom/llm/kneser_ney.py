@@ -43,6 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm.collide import GOLD, mix64
+from tickloom.llm.memory import lean
 from tickloom.llm.sides import attach
 from tickloom.session import cut
 
@@ -82,7 +83,7 @@ def alphabet(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         found = np.flatnonzero(total)
         yield pd.DataFrame({"point": found.astype(np.int32), "n": total[found]})
 
-    counts = docs.select(F.col(text).alias("_text")).mapInPandas(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text).alias("_text")).mapInPandas(lean(run), "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
     ranked = counts.orderBy(F.col("n").desc(), "point").limit((1 << BITS) - FIRST).collect()  # bounded by Unicode
     number = np.full(0x110000, RARE, np.uint16)
     number[[r.point for r in ranked]] = np.arange(FIRST, FIRST + len(ranked), dtype=np.uint16)
@@ -194,7 +195,7 @@ def count_grams(docs: DataFrame, text: str, spread) -> DataFrame:
             yield pd.DataFrame({"code": codes[i : i + 100_000]} | {name: counts[i : i + 100_000] if j == f else none for j, name in enumerate(names)})
 
     schema = ", ".join(f"{c} long" for c in ("code", *names))
-    return docs.select(F.col(text).alias("_text"), "_trusted", "_fold").mapInPandas(run, schema).groupBy("code").agg(*(F.sum(c).alias(c) for c in names))
+    return docs.select(F.col(text).alias("_text"), "_trusted", "_fold").mapInPandas(lean(run), schema).groupBy("code").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +312,7 @@ def scored(docs: DataFrame, table: DataFrame, text: str, lang: str, spread, most
             for pdf in batches:
                 yield score(pdf, *small.value)
 
-        return rows.mapInPandas(run, schema)
+        return rows.mapInPandas(lean(run), schema)
 
     blocks = max(1, -(-(docs.agg(F.sum(F.length(text))).first()[0] or 0) // BLOCK_CHARS))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_doc", "_hash", F.lit(9)), F.lit(blocks)).cast("int"))
@@ -332,7 +333,7 @@ def scored(docs: DataFrame, table: DataFrame, text: str, lang: str, spread, most
             yield pd.DataFrame({"_block": block, "code": np.unique(np.concatenate(kept))})
 
     sorted_rows = rows.select("_block", "_text").repartition("_block").sortWithinPartitions("_block")
-    asked = sorted_rows.mapInPandas(vocabulary, "_block int, code long")
+    asked = sorted_rows.mapInPandas(lean(vocabulary), "_block int, code long")
     answered = cut(asked.join(table, "code"))
 
     def run_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
