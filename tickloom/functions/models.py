@@ -58,7 +58,7 @@ def linear(manifest: Manifest, weights: dict[str, np.ndarray], columns: dict[str
     return linear_score([columns[n] for n in manifest.feature_names], list(map(float, mean)), list(map(float, beta)), shift, 1e4)
 
 
-REGISTRY: dict[str, Callable[[Manifest, dict, dict[str, Column]], Column]] = {"ols": linear}
+REGISTRY: dict[str, Callable[[Manifest, dict, dict[str, Column]], Column]] = {"ols": linear, "ridge": linear, "lasso": linear}
 
 
 def score(manifest: Manifest, weights: dict, columns: dict[str, Column] | None = None, any_version: bool = False) -> Column:

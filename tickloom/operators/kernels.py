@@ -7,6 +7,7 @@ venue with a third of all events needs no more memory than another, and the same
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -58,6 +59,7 @@ class Book:
         self.batch: int | None = None  # time of the snapshot batch that is open
         self.ready, self.ts = False, 0
         self.valid: tuple | None = None
+        self.read: tuple | None = None  # the last levels that `state` returned, with their time
 
     def apply(self, ts: int, side: int, price: float, qty: float) -> None:
         if side in (0, 1, 2) and self.batch is not None:
@@ -123,9 +125,16 @@ class Book:
 
     def depth(self, n: int) -> tuple[list, list] | None:
         """The n best levels of either side; None if not ready or crossed."""
-        bids, asks = sorted(self.levels[0].items(), reverse=True)[:n], sorted(self.levels[1].items())[:n]
+        bids, asks = heapq.nlargest(n, self.levels[0].items()), heapq.nsmallest(n, self.levels[1].items())
         return (bids, asks) if self.ready and bids and asks and bids[0][0] < asks[0][0] else None
 
+    def state(self, n: int) -> tuple[list, list] | None:
+        """`depth`, or where there is none the levels last read, if they are at most `stale_ms` old."""
+        if now := self.depth(n):
+            self.read = (self.ts, now)
+            return now
+        return self.read[1] if self.stale_ms and self.read and 0 <= self.ts - self.read[0] <= self.stale_ms else None
+
 
 @dataclass
 class TopAtTrade:
@@ -168,6 +177,17 @@ def throttled(rows: DataFrame, by: list[str], ms: int) -> DataFrame:
     return ordered(rows.select(*by, "timestamp", "seq"), by, [F.col("seq")], lambda: Throttle(ms), "timestamp long, seq long")
 
 
+def share(x: float, y: float) -> float:
+    return (x - y) / (x + y) if x + y > 0 else 0.0
+
+
+def deviation(bid: float, bid_qty: float, ask: float, ask_qty: float) -> float:
+    """How far the microprice is from the mid, in bps."""
+    mid = (bid + ask) / 2
+    micro = (bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty) if bid_qty + ask_qty > 0 else mid
+    return (micro - mid) / mid * 1e4
+
+
 @dataclass
 class BookMetrics:
     """Top-1 and top-n imbalance and microprice deviation after book events, throttled. A sample is due only when both
@@ -184,14 +204,9 @@ class BookMetrics:
         due = r.side != 2 and (self.last is None or r.timestamp >= self.last + self.ms)
         if due and book.ready and all(book.levels) and book.batch is None:
             self.last = r.timestamp
-            if found := book.depth(self.n):
+            if found := book.state(self.n):
                 bids, asks = found
-                (b, bq), (a, aq) = bids[0], asks[0]
-                bn, an = sum(q for _, q in bids), sum(q for _, q in asks)
-                mid = (b + a) / 2
-                micro = (b * aq + a * bq) / (bq + aq) if bq + aq > 0 else mid
-                share = lambda x, y: (x - y) / (x + y) if x + y > 0 else 0.0
-                yield r.timestamp, r.seq, share(bq, aq), share(bn, an), (micro - mid) / mid * 1e4
+                yield r.timestamp, r.seq, share(bids[0][1], asks[0][1]), share(sum(q for _, q in bids), sum(q for _, q in asks)), deviation(*bids[0], *asks[0])
 
     def close(self):
         return ()
@@ -202,6 +217,54 @@ def book_metrics(tape: DataFrame, by: list[str], ms: int = 500, n: int = 5, **op
     return ordered(cols, by, [F.col("seq")], lambda: BookMetrics(ms, n, Book(**options)), "timestamp long, seq long, top1_imb double, topn_imb double, micro_dev_bps double")
 
 
+SEEN = ("cc_mid", "bj_mid", "um_mid", "bs_mid", "cc_top1", "cc_spread_bps", "cc_dev_bps", "cc_topn", "bj_top1", "bj_topn")
+METRICS = ("cc_top1_metric", "cc_topn_metric", "cc_dev_metric")
+
+
+@dataclass
+class MarketRows:
+    """One merged tape of the venues cc, bj, um and bs, cut down to what windows need: trades, rows where `sample` is
+    true (with what the books show there) and throttled metrics of cc's book. Book updates, most of a tape, go no further."""
+
+    ms: int
+    n: int
+    keep: list[str]
+    options: dict
+    venues: dict = field(default_factory=dict)
+
+    def feed(self, r):
+        venue = self.venues.setdefault(r.venue, BookMetrics(self.ms, self.n, Book(**self.options)))
+        metric = next(iter(venue.feed(r)), None) if r.venue == "cc" else venue.book.apply(r.timestamp, r.side, r.price, r.quantity)
+        if r.side == 2 or r.sample or metric:
+            seen = self.look() if r.sample else [None] * len(SEEN)
+            trade = (r.price, r.quantity) if r.side == 2 else (None, None)
+            yield (r.timestamp, r.seq, *(getattr(r, c) for c in self.keep), r.venue, *trade, r.sample, *seen, *(metric[2:] if metric else [None] * len(METRICS)))
+
+    def look(self) -> list:
+        tops, sums = {}, {}
+        for v in ("cc", "bj", "um", "bs"):
+            book = self.venues[v].book if v in self.venues else None
+            tops[v] = book and book.top()
+            both = book.state(self.n) if book and v in ("cc", "bj") else None
+            sums[v] = both and share(*(sum(q for _, q in side) for side in both))
+        mids = [t and (t[0] + t[2]) / 2 for t in tops.values()]
+        cc, bj = tops["cc"], tops["bj"]
+        own = (share(cc[1], cc[3]), (cc[2] - cc[0]) / mids[0] * 1e4, deviation(*cc[:4])) if cc else (None, None, None)
+        return [*mids, *own, sums["cc"], bj and share(bj[1], bj[3]), sums["bj"]]
+
+    def close(self):
+        return ()
+
+
+def market_rows(tape: DataFrame, by: list[str], keep: list[str], ms: int = 500, n: int = 5, **options) -> DataFrame:
+    """by, timestamp, seq, keep, venue, price and quantity of trades, sample, SEEN, METRICS. `tape` is in the order of
+    seq within `by` and has a boolean `sample`."""
+    cols = tape.select(*by, *keep, "timestamp", "venue", "side", "price", "quantity", "seq", "sample")
+    kept = [f"{c} {tape.schema[c].dataType.simpleString()}" for c in keep]
+    schema = ", ".join(["timestamp long, seq long", *kept, "venue string, price double, quantity double, sample boolean", *(f"{c} double" for c in SEEN + METRICS)])
+    return ordered(cols, by, [F.col("seq")], lambda: MarketRows(ms, n, keep, options), schema)
+
+
 @dataclass
 class Order:
     oid: str

@@ -60,6 +60,16 @@ def bucket_stats(rows: DataFrame, bucket: str, gap: str, value: str) -> DataFram
     return per.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
+def bucket_means(rows: DataFrame, bucket: str, gap: str, names: list[str]) -> DataFrame:
+    """Per bucket: its share of the samples and of the time between them, their ratio, and the mean of each of `names`
+    over the rows that have it (neither null nor NaN)."""
+    there = lambda c: F.when(~F.isnan(c), F.col(c))
+    per = rows.groupBy(bucket).agg(F.count("*").alias("n"), F.sum(gap).alias("_held"), *[F.avg(there(c)).alias(f"{c}_mean") for c in names])
+    total = per.agg(F.sum("n").alias("_n"), F.sum("_held").alias("_all"))  # one row
+    out = per.crossJoin(F.broadcast(total)).withColumn("sample_share", F.col("n") / F.col("_n")).withColumn("time_share", F.col("_held") / F.col("_all"))
+    return out.withColumn("ratio", F.col("time_share") / F.col("sample_share")).drop("_held", "_n", "_all")
+
+
 def time_weighted(rows: DataFrame, by: list[str], gap_ms: str, value: str) -> DataFrame:
     """The mean of a value weighted by the seconds it held, clipped to [0.001, 10], beside the plain mean."""
     w = F.greatest(F.lit(0.001), F.least(F.lit(10.0), F.col(gap_ms) / 1000.0))

@@ -48,9 +48,16 @@ def latest(value: Column, by: list[str]) -> Column:
     return F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
 
 
+def before(value: Column, by: list[str]) -> Column:
+    """The last value that is not null, before this row."""
+    return F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+
+
 def at_or_before(value: Column, by: list[str], lag_ms: int) -> Column:
-    """The last value that is not null with a time at or before t - lag. A lag of at least 1 ms sees all such rows."""
-    return F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy("timestamp").rangeBetween(W.unboundedPreceding, -lag_ms))
+    """The last value that is not null with a time at or before t - lag. A lag of at least 1 ms sees all such rows; of
+    several in one ms it is the last by seq, whatever order the sort by time left them in."""
+    found = F.max(F.when(value.isNotNull(), F.struct("seq", value.alias("v"))))
+    return found.over(W.partitionBy(*by).orderBy("timestamp").rangeBetween(W.unboundedPreceding, -lag_ms))["v"]
 
 
 def log_return(price: Column, by: list[str], width_ms: int, lag_ms: int = 0) -> Column:

@@ -78,6 +78,17 @@ def gap_bucket_stats(spark, sf_dir):
     return b.select("bucket", "n", S.rounded("median_gap", 3).alias("median_gap"), S.rounded("median_value", 4).alias("median_value"), S.rounded("mean_value", 4).alias("mean_value"), S.rounded("std_value", 4).alias("std_value"), S.rounded("share", 6).alias("share"))
 
 
+TOPS = ("imbalance", "spread_bps", "microprice")
+
+
+def bucket_feature_means(spark, sf_dir):
+    """Means of what the book shows at trades, and shares of time and of samples, by the gap to the next trade."""
+    t = tape(spark, sf_dir)
+    top = book.top1(trades(t), book.intervals(t, BY), BY).withColumn("gap_ms", win.gap_to_next(BY)).where("gap_ms IS NOT NULL")
+    m = recon.bucket_means(top.withColumn("bucket", recon.gap_bucket(F.col("gap_ms"), EDGES)), "bucket", "gap_ms", list(TOPS))
+    return m.select("bucket", "n", *[S.rounded(c, 6).alias(c) for c in ("sample_share", "time_share", "ratio", *(f"{c}_mean" for c in TOPS))])
+
+
 def time_weighted_mean(spark, sf_dir):
     f = forward_rows(spark, sf_dir).where("gap_ms IS NOT NULL")
     w = recon.time_weighted(f, BY, "gap_ms", "fwd_bps")
@@ -136,8 +147,8 @@ def venue_anchor(spark, sf_dir):
 
 def linear_model_score(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    x = [F.col("embedding")[i].cast("double") for i in range(8)]
-    score = S.linear_score(x, [0.01 * i for i in range(8)], [0.1 * (i - 3) for i in range(8)], 0.002)
+    x = [F.col("embedding")[i].cast("double") for i in range(64)]
+    score = S.linear_score(x, [0.01 * i for i in range(64)], [0.1 * (i - 3) for i in range(64)], 0.002)
     return e.select("vec_id", S.rounded(score, 6).alias("alpha_bps"), (F.abs(S.rounded(score, 6)) >= 500.0).alias("signals"))
 
 
@@ -202,6 +213,7 @@ ALL = {
     "dup_ts_stats": (dup_ts_stats, f"WITH {C}, p AS (SELECT venue, timestamp, count(*) AS n FROM tape GROUP BY ALL) SELECT venue, count(*) AS n_ts, count(*) FILTER (n > 1) AS n_dup_ts, max(n) AS max_dup FROM p GROUP BY venue"),
     "quantile_summary": (quantile_summary, FROWS + " SELECT venue, count(*) AS n, (round(avg(fwd_bps), 4) + 0.0) AS mean, (round(100.0 * avg(CASE WHEN fwd_bps > 0 THEN 1 ELSE 0 END), 4) + 0.0) AS pos_pct, (round(quantile_cont(fwd_bps, 0.01), 4) + 0.0) AS p1, (round(quantile_cont(fwd_bps, 0.99), 4) + 0.0) AS p99, (round(abs(quantile_cont(fwd_bps, 0.01)) / greatest(quantile_cont(fwd_bps, 0.99), 1e-9), 4) + 0.0) AS tail_ratio FROM r GROUP BY venue"),
     "gap_bucket_stats": (gap_bucket_stats, FROWS + f", b AS (SELECT *, CASE WHEN gap_ms < {EDGES[0]} THEN 0 WHEN gap_ms < {EDGES[1]} THEN 1 WHEN gap_ms < {EDGES[2]} THEN 2 WHEN gap_ms < {EDGES[3]} THEN 3 ELSE 4 END AS bucket FROM r WHERE gap_ms IS NOT NULL) SELECT bucket, count(*) AS n, (round(median(gap_ms), 3) + 0.0) AS median_gap, (round(median(fwd_bps), 4) + 0.0) AS median_value, (round(avg(fwd_bps), 4) + 0.0) AS mean_value, (round(stddev_pop(fwd_bps), 4) + 0.0) AS std_value, (round(count(*) / (SELECT count(*) FROM b)::DOUBLE, 6) + 0.0) AS share FROM b GROUP BY bucket"),
+    "bucket_feature_means": (bucket_feature_means, levels_sql() + TOP1 + f", r AS (SELECT *, lead(timestamp) OVER (PARTITION BY venue ORDER BY seq) - timestamp AS gap_ms FROM top), b AS (SELECT *, CASE WHEN gap_ms < {EDGES[0]} THEN 0 WHEN gap_ms < {EDGES[1]} THEN 1 WHEN gap_ms < {EDGES[2]} THEN 2 WHEN gap_ms < {EDGES[3]} THEN 3 ELSE 4 END AS bucket FROM r WHERE gap_ms IS NOT NULL), a AS (SELECT count(*) AS all_n, sum(gap_ms)::DOUBLE AS all_ms FROM b) SELECT bucket, count(*) AS n, (round(count(*) / any_value(all_n)::DOUBLE, 6) + 0.0) AS sample_share, (round(sum(gap_ms) / any_value(all_ms), 6) + 0.0) AS time_share, (round(sum(gap_ms) / any_value(all_ms) / (count(*) / any_value(all_n)::DOUBLE), 6) + 0.0) AS ratio, " + ", ".join(f"(round(avg({c}), 6) + 0.0) AS {c}_mean" for c in TOPS) + " FROM b, a GROUP BY bucket"),
     "time_weighted_mean": (time_weighted_mean, FROWS + ", w AS (SELECT *, greatest(0.001, least(10.0, gap_ms / 1000.0)) AS w FROM r WHERE gap_ms IS NOT NULL) SELECT venue, (round(sum(w * fwd_bps) / sum(w), 4) + 0.0) AS weighted, (round(avg(fwd_bps), 4) + 0.0) AS plain, (round(sum(w), 4) + 0.0) AS weight FROM w GROUP BY venue"),
     "index_percentiles": (index_percentiles, f"WITH {T}, o AS (SELECT venue, quantity, row_number() OVER (PARTITION BY venue ORDER BY quantity) - 1 AS i, count(*) OVER (PARTITION BY venue) AS n FROM tape WHERE {PICK}) SELECT venue, max(n) AS n, max(quantity) FILTER (i = floor(n * 0.5)) AS p50, max(quantity) FILTER (i = floor(n * 0.95)) AS p95, CASE WHEN max(n) > 100 THEN max(quantity) FILTER (i = floor(n * 0.99)) ELSE max(quantity) FILTER (i = floor(n * 0.95)) END AS p99 FROM o GROUP BY venue"),
     "pnl_from_fills": (pnl_from_fills, FILLS + " SELECT * FROM s"),
@@ -210,7 +222,7 @@ ALL = {
     "merge_tagged_stream": (merge_tagged_stream, f"WITH {C}, u AS (SELECT venue, timestamp * 1000000 AS ts_ns, arrival, 'L2' AS kind, 0 AS r FROM tape WHERE side <> 2 UNION ALL SELECT venue, timestamp * 1000000, arrival, 'PLACE', 1 FROM tape WHERE side = 2 UNION ALL SELECT venue, timestamp * 1000000, arrival, 'CANCEL', 2 FROM tape WHERE side = 2 AND arrival % 3 = 0) SELECT venue, row_number() OVER (PARTITION BY venue ORDER BY ts_ns, r, arrival) AS line, ts_ns, kind, arrival FROM u"),
     "kway_merge": (kway_merge, f"WITH {C} SELECT arrival, timestamp // 86400000 AS day, row_number() OVER (PARTITION BY timestamp // 86400000 ORDER BY timestamp, side DESC, venue, arrival) AS line FROM tape"),
     "venue_anchor": (venue_anchor, f"WITH {T}, p AS (SELECT venue, min(timestamp) AS first FROM tape GROUP BY venue) SELECT max(first) AS anchor, max(first) - min(first) > {HOUR} AS skewed FROM p"),
-    "linear_model_score": (linear_model_score, "WITH s AS (SELECT vec_id, (round((0.002::DOUBLE + " + " + ".join(f"(embedding[{i + 1}]::DOUBLE - {0.01 * i!r}::DOUBLE) * {0.1 * (i - 3)!r}::DOUBLE" for i in range(8)) + ") * 1e4, 6) + 0.0) AS alpha_bps FROM embeddings) SELECT *, abs(alpha_bps) >= 500.0 AS signals FROM s"),
+    "linear_model_score": (linear_model_score, "WITH s AS (SELECT vec_id, (round((0.002::DOUBLE + " + " + ".join(f"(embedding[{i + 1}]::DOUBLE - {0.01 * i!r}::DOUBLE) * {0.1 * (i - 3)!r}::DOUBLE" for i in range(64)) + ") * 1e4, 6) + 0.0) AS alpha_bps FROM embeddings) SELECT *, abs(alpha_bps) >= 500.0 AS signals FROM s"),
     "quote_price": (quote_price, levels_sql() + TOP1 + " SELECT venue, seq, CASE WHEN seq % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN seq % 2 = 0 THEN (CASE WHEN best_bid + 0.5 < best_ask THEN best_bid + 0.5 ELSE best_bid END) ELSE (CASE WHEN best_ask - 0.5 > best_bid THEN best_ask - 0.5 ELSE best_ask END) END AS improved, CASE WHEN seq % 2 = 0 THEN best_bid ELSE best_ask END AS joined FROM top"),
     "spec_validate": (spec_validate, "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity - 1 <= 0 THEN 'QTY' WHEN l_extendedprice <= 0 THEN 'PRICE' WHEN abs(l_extendedprice / 0.25 - round_even(l_extendedprice / 0.25, 0)) > 1e-7 THEN 'TICK' WHEN abs((l_quantity - 1) / 2.0 - round_even((l_quantity - 1) / 2.0, 0)) > 1e-7 THEN 'LOT' WHEN l_extendedprice * (l_quantity - 1) < 20000.0 - 1e-7 THEN 'NOTIONAL' ELSE 'OK' END AS fault, ceil(l_extendedprice / 0.25) * 0.25::DOUBLE AS sell_price, floor(l_extendedprice / 0.25) * 0.25::DOUBLE AS buy_price, floor(l_quantity / 2.0) * 2.0::DOUBLE AS qty FROM lineitem"),
     "spec_lookup": (spec_lookup, f"WITH {T}, o AS (SELECT DISTINCT venue, 'S' || side AS symbol FROM tape), v(venue, symbol, tick, lot, least) AS (VALUES ('cc', 'S2', 1.0::DOUBLE, 0.001::DOUBLE, 500.0::DOUBLE), ('bj', 'S0', 0.1, 0.01, 0.0)), d(symbol, tick, lot, least) AS (VALUES ('S2', 0.5::DOUBLE, 0.1::DOUBLE, 5.0::DOUBLE), ('S1', 0.25, 0.1, 0.0)) SELECT o.venue, o.symbol, coalesce(v.tick, d.tick, 1e-8) AS tick, coalesce(v.lot, d.lot, 1e-8) AS lot, coalesce(v.least, d.least, 0.0) AS least FROM o LEFT JOIN v USING (venue, symbol) LEFT JOIN d ON d.symbol = o.symbol"),

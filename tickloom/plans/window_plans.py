@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
-from tickloom.operators import book, recon
+from tickloom.functions.models import FEATURE_NAMES
+from tickloom.operators import book, features, recon
 from tickloom.operators import windows as win
 from tickloom.plans.book_plans import BY, TOP1, levels_sql, tape, trades
 from tickloom.sources.driver_tables import HOUR, tape_from_events, tape_sql
@@ -115,26 +116,27 @@ def sorted_check(spark, sf_dir):
     return t.withColumn("_ok", ok).groupBy("venue").agg(F.bool_and("_ok").alias("ts_sorted"), F.min("timestamp").alias("ts_min"), F.max("timestamp").alias("ts_max"))
 
 
-def feature_vector(spark, sf_dir):
-    """One wide row at each cc trade: flows, counts, returns and hour of the cc, bj and um venues on one merged tape,
-    where each venue's windows end at the current event."""
+UNIT, LOOKBACK = HOUR // 2, 30  # what a second of the feature widths is on a tape with minutes between events
+WINDOWED = ("cc_l2_imb_top1_5s", "cc_l2_imb_top5_5s", "cc_micro_dev_5s")
+PLAIN = [n for n in FEATURE_NAMES if n not in WINDOWED]
+
+
+def feature_row(spark, sf_dir):
+    """All features at each cc trade, on one merged tape of all venues."""
     m = segmented(tape(spark, sf_dir)).withColumn("seq", F.col("line"))
-    by = ["segment"]
-    is_t = lambda v: (F.col("venue") == v) & (F.col("side") == 2)
-    price = lambda v: F.when(is_t(v), F.col("price"))
-    buy = lambda v: F.when(is_t(v), S.taker_buy(F.col("quantity"))).otherwise(0.0)
-    sell = lambda v: F.when(is_t(v), S.taker_sell(F.col("quantity"))).otherwise(0.0)
-    out = m.select(
-        "venue", "side", "timestamp", "arrival", "emits",
-        S.rounded(win.log_return(price("um"), by, HOUR), 9).alias("r_um"),
-        S.rounded(win.log_return(price("bj"), by, HOUR), 9).alias("r_bj"),
-        S.rounded(win.log_return(price("cc"), by, HOUR, HOUR), 9).alias("r_cc_lag1"),
-        S.rounded(win.flow(buy("um"), sell("um"), by, 5 * HOUR), 6).alias("um_flow_5"),
-        win.count(is_t("um"), by, 5 * HOUR).alias("um_n_5"),
-        S.rounded(win.trade_imbalance(buy("cc"), sell("cc"), is_t("cc"), by, 2 * HOUR), 6).alias("cc_imb_2"),
-        (S.rounded(S.hour_sin(F.col("timestamp")), 9) + 0.0).alias("hour_sin"),
-    )
-    return out.where("emits AND venue = 'cc' AND side = 2").drop("venue", "side", "emits")
+    m = m.withColumn("sample", F.expr("emits AND venue = 'cc' AND side = 2"))
+    rows = features.feature_rows(m, ["segment"], ["arrival"], UNIT, LOOKBACK, threshold=1)
+    return rows.select("timestamp", "arrival", *[S.rounded(n, 9).alias(n) for n in FEATURE_NAMES])
+
+
+def feature_vector(spark, sf_dir):
+    """The features that SQL can say: all but the trailing means of throttled book metrics."""
+    return feature_row(spark, sf_dir).drop(*WINDOWED)
+
+
+def feature_sequence(spark, sf_dir):
+    """What a sequence model reads at the last cc trade: 12 steps of an hour of the feature vector."""
+    return features.feature_sequence(feature_vector(spark, sf_dir), [], ["arrival"], 12 * HOUR, HOUR, PLAIN)
 
 
 def grid_sequence(spark, sf_dir):
@@ -156,17 +158,74 @@ def then_sql(hours):
 
 
 LO = f"(SELECT min(timestamp) FROM {{rows}}) + ((timestamp - (SELECT min(timestamp) FROM {{rows}})) // {DAY} - 1) * {DAY} AS lo"
-MERGED = f""", m AS (SELECT *, {LO.format(rows='tape')}, row_number() OVER (ORDER BY timestamp, side DESC, venue, arrival) AS line FROM tape
-), mt AS (SELECT *, greatest(-quantity, 0.0) AS buy, greatest(quantity, 0.0) AS sell FROM m WHERE side = 2)"""
-
-
-def mret(venue, hours, lag=0):
-    then = f"(SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.timestamp <= a.timestamp - {(hours + lag) * HOUR})"
-    return f"(round(ln((SELECT arg_max(price, line) FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.line <= a.line) / {then}), 9) + 0.0)"
 
 
-def msum(venue, expr, hours):
-    return f"(SELECT {expr} FROM mt b WHERE b.venue = '{venue}' AND b.timestamp >= a.lo AND b.line <= a.line AND b.timestamp >= a.timestamp - {hours * HOUR})"
+def mrow(what, venue, edge):
+    return f"{what} FILTER (b.venue = '{venue}' AND {edge})"
+
+
+def mret(venue, width, lag=0):
+    then = f"b.timestamp <= a.at_ts - {int((width + lag) * UNIT)}"
+    price, born = mrow("arg_max(price, line)", venue, "true"), mrow("max(timestamp)", venue, "true")
+    return f"CASE WHEN {mrow('max(timestamp)', venue, then)} >= {born} - {LOOKBACK * UNIT} THEN ln({price} / {mrow('arg_max(price, line)', venue, then)}) END"
+
+
+def msum(venue, expr, width, closed=True, also=""):
+    edge = f"b.venue = '{venue}' AND b.timestamp {'>=' if closed else '>'} a.at_ts - {int(width * UNIT)}{also}"
+    return f"(round(coalesce({expr.format(w=f'FILTER ({edge})')}, 0), 9) + 0.0)"
+
+
+def feature_sql():
+    """The features that need no throttle, as common table expressions that end in `fv`: books by segment and venue as
+    intervals, trades by subqueries."""
+    imb = "(round(sum(buy) {w}, 9) - round(sum(sell) {w}, 9)) / (round(sum(buy) {w}, 9) + round(sum(sell) {w}, 9))"
+    net, n = "sum(buy - sell) {w}", "CAST(count(*) {w} AS DOUBLE)"
+    cols = {
+        **{name: mret("um", w) for name, w in (("r_um", 1), ("r_um_2s", 2), ("r_um_5s", 5), ("r_um_10s", 10))},
+        **{f"{v}_imb_{name}": msum(v, imb, w) for v, name, w in (("um", "1s", 1), ("um", "30s_norm", 30), ("bj", "1s", 1), ("cc", "1s", 1), ("cc", "30s_norm", 30))},
+        **{f"{v}_flow_{name}": msum(v, net, w) for v, name, w in (("um", "50ms", 0.05), ("um", "100ms", 0.1), ("um", "500ms", 0.5), ("um", "5s", 5), ("bj", "5s", 5), ("cc", "5s", 5), ("cc", "30s", 30))},
+        "um_n_5s": msum("um", n, 5),
+        "um_vol_5s": msum("um", "sum(abs(ln(price / prior))) {w}", 5, also=f" AND prior_ts >= greatest(a.lo, b.timestamp - {LOOKBACK * UNIT})"),
+        "r_bj": mret("bj", 1), "trade_intensity_burst_50ms": msum("cc", n, 0.05, closed=False), "r_cc_lag1": mret("cc", 1, 1), "r_cc_lag2": mret("cc", 1, 2),
+        "bs_last": mrow("arg_max(price, line)", "bs", "true"),
+    }
+    books = """, fed AS (
+  SELECT s.segment, m.*, side IN (0, 3) AS bid FROM m JOIN (SELECT DISTINCT seg AS segment FROM m) s ON m.seg = s.segment OR m.seg = s.segment - 1
+), marked AS (
+  SELECT *, CASE WHEN side IN (3, 4) AND lag(timestamp) OVER (PARTITION BY segment, venue, side ORDER BY line) IS DISTINCT FROM timestamp THEN line END AS mark FROM fed WHERE side <> 2
+), lived AS (
+  SELECT segment, venue, bid, price AS p, quantity AS q, line AS st, least(
+    coalesce(lead(line) OVER (PARTITION BY segment, venue, bid, price ORDER BY line), 4611686018427387904),
+    coalesce(min(mark) OVER (PARTITION BY segment, venue, bid ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 4611686018427387904)) AS en FROM marked
+), held AS (
+  SELECT a.line, l.venue, l.bid, p, q, row_number() OVER (PARTITION BY a.line, l.venue, l.bid ORDER BY CASE WHEN l.bid THEN -p ELSE p END) AS rank
+  FROM mt a JOIN lived l ON l.segment = a.seg AND l.st <= a.line AND a.line < l.en WHERE a.venue = 'cc' AND q <> 0
+), sums AS (
+  SELECT line, venue, max(p) FILTER (bid) AS b, min(p) FILTER (NOT bid) AS a, sum(q) FILTER (bid AND rank = 1) AS bq, sum(q) FILTER (NOT bid AND rank = 1) AS aq,
+    sum(q) FILTER (bid) AS b5, sum(q) FILTER (NOT bid) AS a5 FROM held WHERE rank <= 5 GROUP BY ALL
+), shown AS (
+  SELECT line, venue, (a + b) / 2.0 AS mid, (bq - aq) / (bq + aq) AS i1, (b5 - a5) / (b5 + a5) AS i5, (a - b) / ((a + b) / 2.0) * 10000.0 AS spread,
+    ((b * aq + a * bq) / (bq + aq) - (a + b) / 2.0) / ((a + b) / 2.0) * 10000.0 AS dev FROM sums WHERE b < a
+), flat AS (
+  SELECT line, """ + ", ".join(f"max({c}) FILTER (venue = '{v}') AS {v}_{c}" for v in VENUES for c in ("mid", "i1", "i5", "spread", "dev")) + " FROM shown GROUP BY line)"
+    say = {
+        "basis_bj_bps": "ln(cc_mid / bj_mid) * 10000.0", "um_x_basis": "x_um * ln(cc_mid / bj_mid) * 10000.0", "basis_um_bps": "ln(um_mid / bs_mid) * 10000.0",
+        "basis_um_bps_trade_proxy": "ln(um_mid / bs_last) * 10000.0", "cc_l2_top1_imb": "cc_i1", "cc_l2_top5_imb": "cc_i5", "cc_l2_micro_dev_bps": "cc_dev",
+        "cc_l2_spread_bps": "cc_spread", "bj_l2_top1_imb": "bj_i1", "bj_l2_top5_imb": "bj_i5", "l2_imb_diff": "cc_i1 - bj_i1",
+        "hour_sin": "sin(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0)", "hour_cos": "cos(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0)",
+    }
+    traded = ", ".join(f"{e} AS {c}" if c == "bs_last" else f"(round({e}, 9) + 0.0) AS {c}" for c, e in cols.items())
+    rounded = ", ".join(f"(round({e}, 9) + 0.0) AS {c}" for c, e in say.items())
+    return f"""WITH {tape_sql()}, m AS (
+  SELECT *, (timestamp - t0) // {DAY} AS seg, t0 + ((timestamp - t0) // {DAY} - 1) * {DAY} AS lo, row_number() OVER (ORDER BY timestamp, side DESC, venue, arrival) AS line
+  FROM tape, (SELECT min(timestamp) AS t0 FROM tape)
+), mt AS (
+  SELECT *, greatest(-quantity, 0.0) AS buy, greatest(quantity, 0.0) AS sell, lag(price) OVER w AS prior, lag(timestamp) OVER w AS prior_ts FROM m WHERE side = 2 WINDOW w AS (PARTITION BY venue ORDER BY line)
+){books}, traded AS (
+  SELECT at_line AS line, at_ts AS timestamp, at_arrival AS arrival, {mret("um", 1)} AS x_um, {traded}
+  FROM (SELECT line AS at_line, timestamp AS at_ts, arrival AS at_arrival, lo FROM mt WHERE venue = 'cc') a
+  JOIN (SELECT line, timestamp, venue, price, buy, sell, prior, prior_ts FROM mt) b ON b.timestamp >= a.lo AND b.line <= a.at_line GROUP BY ALL
+), fv AS (SELECT timestamp, arrival, {", ".join(n for n in PLAIN if n not in say)}, {rounded} FROM traded LEFT JOIN flat USING (line))"""
 
 
 FWD = "(SELECT {pick} FROM t b WHERE b.venue = a.venue AND b.seq > a.seq AND b.timestamp >= a.timestamp + {h})"
@@ -189,6 +248,8 @@ SELECT *, (round(ln(cc_mid / bj_mid) * 10000.0, 6) + 0.0) AS basis_bps FROM mids
     "interarrival_gap": (interarrival_gap, f"WITH {tape_sql()} SELECT * FROM (SELECT venue, seq, lead(timestamp) OVER (PARTITION BY venue ORDER BY seq) - timestamp AS gap_ms FROM tape) WHERE gap_ms IS NOT NULL"),
     "venue_health": (venue_health, f"WITH {tape_sql()} SELECT venue, max(timestamp) AS last_trade, max(timestamp) >= (SELECT max(timestamp) FROM tape) - {2 * HOUR} AS healthy FROM tape WHERE side = 2 GROUP BY venue"),
     "sorted_check": (sorted_check, f"WITH {tape_sql()} SELECT venue, bool_and(ok) AS ts_sorted, min(timestamp) AS ts_min, max(timestamp) AS ts_max FROM (SELECT *, coalesce(timestamp >= lag(timestamp) OVER (PARTITION BY venue ORDER BY arrival), true) AS ok FROM tape) GROUP BY venue"),
-    "feature_vector": (feature_vector, f"WITH {tape_sql()}{MERGED} SELECT timestamp, arrival, {mret('um', 1)} AS r_um, {mret('bj', 1)} AS r_bj, {mret('cc', 1, 1)} AS r_cc_lag1, (round(coalesce({msum('um', 'sum(buy - sell)', 5)}, 0), 6) + 0.0) AS um_flow_5, {msum('um', 'count(*)', 5)} AS um_n_5, (round(coalesce({msum('cc', '((round(sum(buy), 9) + 0.0) - (round(sum(sell), 9) + 0.0)) / ((round(sum(buy), 9) + 0.0) + (round(sum(sell), 9) + 0.0))', 2)}, 0), 6) + 0.0) AS cc_imb_2, round(sin(2 * pi() * ((timestamp // 1000 % 86400) / 3600.0) / 24.0), 9) + 0.0 AS hour_sin FROM mt a WHERE venue = 'cc'"),
+    "feature_row": (feature_row, None),
+    "feature_vector": (feature_vector, feature_sql() + " SELECT * FROM fv"),
+    "feature_sequence": (feature_sequence, feature_sql() + f", g AS (SELECT step, max(timestamp) - step * {HOUR} AS till FROM fv, (SELECT unnest(range(12)) AS step) GROUP BY step), f AS (SELECT step, arg_max(fv, (timestamp, arrival)) AS x FROM g JOIN fv ON timestamp <= till GROUP BY step) SELECT CAST(step AS INTEGER) AS step, {', '.join(f'x.{n} AS {n}' for n in PLAIN)} FROM f WHERE (SELECT count(*) FROM f) = 12"),
     "grid_sequence": (grid_sequence, f"WITH {tape_sql()}{TRADES}, c AS (SELECT * FROM t WHERE venue = 'cc'), g AS (SELECT unnest(range(12)) AS step, (SELECT max(timestamp) FROM c) AS latest) SELECT 'cc' AS venue, CAST(step AS INTEGER) AS step, (SELECT arg_max(price, seq) FROM c WHERE c.timestamp <= g.latest - g.step * {HOUR}) AS price FROM g"),
 }
