@@ -173,6 +173,12 @@ def test_models(spark):
         models.score(models.Manifest.load(json.dumps(text | {"features_version": "v5"})), w)
     with pytest.raises(ValueError, match="2s"):
         models.Manifest.load(json.dumps(text | {"sampling_mode": "2s"}))
+    with pytest.raises(ValueError, match="mid_2s"):
+        models.Manifest.load(json.dumps(text | {"target_kind": "mid_2s_log_return"}))
+    longer = {k: v for k, v in text.items() if k != "features_version"} | {"model_kind": "Ridge", "own_features_version_required": "v6", "model_output_unit": "bps", "target_kind": "mid_1s_log_return"}
+    m = models.Manifest.load(json.dumps(longer))
+    assert (m.features_version, m.output_unit, m.extra) == ("v6", "bps", {})
+    assert df.select(models.score(m, w).alias("s")).first().s == 20000.0
     with pytest.raises(ValueError, match="unknown model"):
         models.score(models.Manifest.load(json.dumps(text | {"model_kind": "gbm"})), w)
 
