@@ -7,6 +7,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
@@ -232,6 +233,32 @@ def test_rules_reject_repetition_and_noise(spark):
     assert rules.apply_rules(odd(spark)).count() == len(ODD) + 2 and rules.apply_rules(odd(spark).limit(0)).count() == 0
 
 
+def test_rules_quantiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v), int(n)) for g, v, n in zip(rng.integers(0, 3, 900), rng.normal(size=900).round(2), rng.integers(1, 9, 900), strict=True)] + [(7, -1.5, 1)]
+    got = rules.quantiles(spark.createDataFrame(rows, "g long, v double, n long"), "g", "v", "n", (0.002, 0.5, 0.998))
+    for g in (0, 1, 2, 7):
+        plain = np.repeat([v for h, v, _ in rows if h == g], [n for h, _, n in rows if h == g])
+        assert got[g][0] == len(plain) and np.allclose(got[g][1:], np.quantile(plain, (0.002, 0.5, 0.998)), rtol=0, atol=1e-12)
+
+
+def test_rules_learn_from_all_trusted_text(spark):
+    """More trusted texts than limits were once learnt from; limits stated anew from the pieces of all of them."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(400)])
+    texts = [" ".join(words[rng.integers(0, 400, 400 + i if i % 400 == 0 else 55 + i % 60)]) for i in range(24_000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    limits = rules.learn(frame, frame.select("doc_id").union(frame.select("doc_id").limit(9)))
+    raws = [p for raw in map(str.encode, texts) for p in (raw, *([raw[i : i + 2048] for i in range(0, len(raw), 2048)] if len(raw) > 2048 else []))]
+    size, log = np.log2([len(r) for r in raws]), np.log([len(zstandard.compress(r, 3)) / len(r) for r in raws])
+    medians = [(int((at := np.floor(2 * size) == h).sum()), np.median(size[at]), np.median(log[at])) for h in np.unique(np.floor(2 * size))]
+    far = log - np.interp(size, *zip(*sorted(m[1:] for m in medians if m[0] >= 8), strict=True))
+    octaves = [(int(o), int((at := np.floor(size) == o).sum()), *np.quantile(far[at], (0.002, 0.998))) for o in np.unique(np.floor(size))]
+    plain = rules.limits_from(medians, octaves)
+    assert sum(m[0] for m in medians) > 24_000 and [o for o, _, _ in limits.octaves] == [o for o, _, _ in plain.octaves]
+    assert np.allclose(limits.line, plain.line, rtol=0, atol=1e-12) and np.allclose(limits.octaves, plain.octaves, rtol=0, atol=1e-12)
+
+
 def test_langid_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in table(spark, sf, "documents").collect()}

@@ -57,8 +57,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return rules.apply_rules(docs, rules.learn(docs, trusted_ids(spark, sf_dir)))
+    return rules.learn_and_apply(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
