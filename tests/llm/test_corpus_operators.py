@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, components, jaccard, kneser_ney, lines, mixing, neardup_vectors, shingles, sides
+from tickloom.llm import bpe, collide, components, jaccard, kneser_ney, lines, mixing, neardup_vectors, shingles, sides
 from tickloom.llm.queries import BYTE_BPE, op1_mixing, op3_quality, op4_jaccard, op5_lines, op6_vectors, trusted_ids
 from tickloom.session import table
 
@@ -222,6 +222,37 @@ def test_jaccard_odd_rows_and_paths(spark, monkeypatch):
         test_jaccard_near_the_threshold(spark, 3)
 
 
+def test_jaccard_ships_short_tags(spark, monkeypatch):
+    """Eight bytes a signature for up to 30 million items; results don't depend on tags, also where few bits make most
+    items share theirs, and where the two of a pair do."""
+    keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
+    width = jaccard.tag_bytes(30_000_000)
+    packed = collide.pack(keys, keys.astype(np.int64), 7, width)
+    assert sum(map(len, packed["keys"])) + sum(map(len, packed["items"])) == 8 * len(keys)
+    assert jaccard.tag_bytes(0) == 4 and jaccard.tag_bytes(2**25) == 5 and jaccard.tag_bytes(2**33) == 6
+    monkeypatch.setattr(jaccard, "tag_bytes", lambda items: 1)
+    test_jaccard_near_the_threshold(spark, 4)
+    seen = {}
+    for i in range(300):
+        text = " ".join([f"w{j}" for j in range(80)] + [f"x{i}"])
+        other = seen.setdefault(shingles.set_id(jaccard.sets_of([text])[0]) & 255, text)
+        if other != text:
+            break
+    assert {r.component_id for r in jaccard.join(docs_of(spark, [(1, text, None, None), (2, other, None, None)])).collect()} == {1}
+
+
+def test_jaccard_packs_many_signatures_at_once(spark, monkeypatch):
+    """What a task signs goes to the shards in few rows, and nothing of it is lost where it is packed in several."""
+    words = np.random.default_rng(2).integers(0, 10**6, (1200, 60))
+    frame = docs_of(spark, [(i, " ".join(map(str, w)), None, None) for i, w in enumerate(words.repeat(2, 0)[:, :-1].tolist())]).coalesce(1)
+    calls = []
+    for at_once in (10**9, 1000):
+        monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
+        got = jaccard.join(frame.withColumn("text", F.concat("text", F.lit(" "), F.col("doc_id"))))
+        calls.append({(r._id, r.component_id) for r in got.collect()})
+    assert calls[0] == calls[1] == {(i, i - i % 2) for i in range(2400)}
+
+
 def test_long_text_hashes_like_a_short_one(monkeypatch):
     raw = b"some words and others " * 40
     whole = dict(shingles.words_of([raw]))[0]

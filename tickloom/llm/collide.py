@@ -31,26 +31,26 @@ def shards_for(pairs: float) -> int:
     return max(1, int(-(-pairs // PER_SHARD)))
 
 
-def pack(keys: np.ndarray, items: np.ndarray, shards: int, narrow: bool = False) -> pd.DataFrame:
+def pack(keys: np.ndarray, items: np.ndarray, shards: int, narrow: int = 0) -> pd.DataFrame:
     """Rows of PACKED; keys are uint64, items int64. `narrow`: only the lower half of a key is shipped (the shard follows
-    from the upper one) and the lower 48 bits of an item, for users that take a few false meetings."""
+    from the upper one) and so many of the lower bytes of an item, for users that take a few false meetings."""
     shard = (keys >> np.uint64(32 if narrow else 17)) % np.uint64(shards)
     order = np.argsort(shard, kind="stable")
     keys, items, shard = keys[order], items[order], shard[order]
     if narrow:
         keys = keys.astype(np.uint32)
-        items = items.view(np.uint8).reshape(-1, 8)[:, :6]
+        items = items.view(np.uint8).reshape(-1, 8)[:, :narrow]
     cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, int)
     ends = np.r_[cuts[1:], len(keys)][: len(cuts)]
     return pd.DataFrame({"shard": shard[cuts].astype(np.int32), "keys": [keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "items": [items[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
 
 
-def shared(pdf: pd.DataFrame, narrow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared(pdf: pd.DataFrame, narrow: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one shard: the keys with at least two distinct items, the start of each in the items, and the items."""
     keys = np.frombuffer(b"".join(pdf["keys"]), np.uint32 if narrow else np.uint64)
     if narrow:
         wide = np.zeros((len(keys), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(pdf["items"]), np.uint8).reshape(-1, 6)
+        wide[:, :narrow] = np.frombuffer(b"".join(pdf["items"]), np.uint8).reshape(-1, narrow)
         items = wide.view(np.int64).ravel()
     else:
         items = np.frombuffer(b"".join(pdf["items"]), np.int64)

@@ -58,8 +58,8 @@ MARKS = 8
 PER_ITEM = 16
 #: Rows of a task that compares the items of groups.
 CELL_ROWS = 2000
-#: What is shipped of an item's name beside a signature: two items with one tag only add candidates.
-TAG = (1 << 48) - 1
+#: Signatures that a task packs at once: with many shards, few would make rows that are mostly headers.
+AT_ONCE = 400_000
 #: Distinct items that a task remembers to sign each only once.
 REMEMBERED = 500_000
 LEAST = -(2**63)
@@ -165,12 +165,25 @@ def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("_id"), F.coalesce(docs[key].cast("long"), F.lit(LEAST)).alias("_doc"), F.xxhash64(docs[text]).alias("_hash"), docs[text].alias("_text"))
 
 
-def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int) -> DataFrame:
+def tag_bytes(items: int) -> int:
+    """What is shipped of an item's name beside a signature, its tag: so much that at most one item in 128 shares its
+    tag. Two items with one tag only add candidates: they are taken for each other, and compared (`twins`)."""
+    return max(4, -(-(max(items, 1).bit_length() + 7) // 8))
+
+
+def twins(items: DataFrame) -> DataFrame:
+    """The pairs (a < b) of items with one tag, which don't meet in groups."""
+    same = items.groupBy("_tag").agg(F.sort_array(F.collect_list("_item")).alias("_all")).where("size(_all) > 1")
+    return same.select("_all", F.posexplode("_all").alias("_at", "a")).select("a", F.explode(F.expr("slice(_all, _at + 2, size(_all))")).alias("b"))
+
+
+def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int, width: int) -> DataFrame:
     """_group, _block, _head, _tags (ascending) and _weight: the tags of items that share a signature, in blocks of at
     most BLOCK, each with the group's first tag, and in how many signatures they meet."""
 
     def sign(batches):
         seen: set = set()
+        held, n = [], 0
         for batch in batches:
             for pdf in chunks(batch):
                 fresh = {}
@@ -182,10 +195,16 @@ def groups_of(docs: DataFrame, text: str, key: str, shards: int, percent: int) -
                 seen.update(fresh)
                 if fresh:
                     keys, owner = signatures(list(fresh.values()), percent)
-                    yield pack(keys, np.array(list(fresh), np.int64)[owner], shards, narrow=True)
+                    held.append((keys, np.array(list(fresh), np.int64)[owner]))
+                    n += len(keys)
+                if n >= AT_ONCE:
+                    yield pack(*map(np.concatenate, zip(*held, strict=True)), shards, width)
+                    held, n = [], 0
+        if held:
+            yield pack(*map(np.concatenate, zip(*held, strict=True)), shards, width)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, start, items = shared(pdf, narrow=True)
+        _, start, items = shared(pdf, width)
         if not len(start):
             return pd.DataFrame({"_group": [], "_block": [], "_head": [], "_tags": [], "_weight": []}, dtype=object)
         size = np.diff(np.r_[start, len(items)])
@@ -253,13 +272,12 @@ def plausible(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(lean(run), "a long, b long")
 
 
-def close_pairs(group: int, item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.ndarray, sketches: list[bytes], marks: np.ndarray, percent: int, cover: bool) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(item: np.ndarray, comp: np.ndarray, half: np.ndarray, size: np.ndarray, sketches: list[bytes], marks: np.ndarray, percent: int, cover: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a cell's items across components, and across halves if it has two (0 and 1; -1: it has one), that
     sizes and sketches don't rule out: those of leaders with the items that they take (`cover`), or all. All but those
-    whose marks (the first groups of an item, ascending) say that they meet in an earlier group."""
+    whose marks (the first groups of an item, as far as they come before this one) say that they meet in an earlier group."""
     order = np.argsort(size, kind="stable")
     item, comp, half, size, marks = item[order], comp[order], half[order], size[order], marks[order]
-    end = np.iinfo(np.int64).max
     lev = level(size)
     rows = {x: np.frombuffer(b"".join(sketches[i] for i in order[lev == x]), np.uint64).reshape(int((lev == x).sum()), -1) for x in np.unique(lev).tolist()}
     folded = {x - 1: fold(m) for x, m in rows.items() if m.shape[1] > 1}
@@ -286,9 +304,7 @@ def close_pairs(group: int, item: np.ndarray, comp: np.ndarray, half: np.ndarray
             if cover:
                 taken[j] += 1
             else:
-                both = (marks[j][:, :, None] == marks[i][None, None, :]).any(2)
-                at = np.where(both, marks[j], end).min(1, initial=end)
-                j = j[(at == end) | (at == group)]
+                j = j[~(marks[j][:, :, None] == marks[i][None, None, :]).any((1, 2))]
             left.append(np.full(len(j), item[i]))
             right.append(item[j])
     return np.concatenate(left), np.concatenate(right)
@@ -328,7 +344,8 @@ def across(rows: DataFrame, split: DataFrame, items: DataFrame, percent: int, co
         known = known.withColumn("_marks", F.array().cast("array<long>"))
     else:
         known = known.join(rows.groupBy("_item").agg(F.slice(F.sort_array(F.collect_set("_group")), 1, MARKS).alias("_marks")), "_item")
-    wide = full.join(known, "_item").withColumn("bucket", F.pmod(F.xxhash64("_group", "_cell"), F.lit(buckets)).cast("int"))
+    known = full.join(known, "_item").withColumn("_marks", F.filter("_marks", lambda m: m < F.col("_group")))  # none other rules a pair out
+    wide = known.withColumn("bucket", F.pmod(F.xxhash64("_group", "_cell"), F.lit(buckets)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_group", "_x", "_y", "_item"], kind="stable")
@@ -341,7 +358,7 @@ def across(rows: DataFrame, split: DataFrame, items: DataFrame, percent: int, co
         starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
         left, right = [], []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
-            x, y = close_pairs(int(cell[a, 0]), item[a:b], comp[a:b], half[a:b], size[a:b], sketches[a:b], marks[a:b], percent, cover)
+            x, y = close_pairs(item[a:b], comp[a:b], half[a:b], size[a:b], sketches[a:b], marks[a:b], percent, cover)
             left.append(np.minimum(x, y))
             right.append(np.maximum(x, y))
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
@@ -354,16 +371,18 @@ def join(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str =
     """One row per row of docs: _id, _doc, _hash, n_shingles, component_id, and _first: whether it is the first of its
     component in order of (id, hash of the text)."""
     known = cut(describe(docs, text, key))
-    sizes = known.agg(F.sum("n_shingles")).first()[0] or 0
+    sizes, with_words = known.agg(F.sum("n_shingles"), F.count("_item")).first()
+    width = tag_bytes(with_words)
     place = F.struct("_doc", "_hash")
-    items = cut(known.where("_item IS NOT NULL").groupBy("_item").agg(F.min(place).alias("_at"), F.first("n_shingles").alias("n_shingles"), F.first("_sketch").alias("_sketch")).select("_item", "_at._doc", "_at._hash", "n_shingles", "_sketch", F.col("_item").bitwiseAND(F.lit(TAG)).alias("_tag")))
-    groups = groups_of(docs, text, key, shards_for(sizes), percent)
+    items = cut(known.where("_item IS NOT NULL").groupBy("_item").agg(F.min(place).alias("_at"), F.first("n_shingles").alias("n_shingles"), F.first("_sketch").alias("_sketch")).select("_item", "_at._doc", "_at._hash", "n_shingles", "_sketch", F.col("_item").bitwiseAND(F.lit((1 << 8 * width) - 1)).alias("_tag")))
+    groups = groups_of(docs, text, key, shards_for(sizes or 0), percent, width)
     tags = items.select("_tag", "_item")
     members = cut(groups.select("_group", "_head", "_weight", F.explode("_tags").alias("_tag")).join(tags, "_tag"))
     stars = members.where("_head <> _tag").groupBy("_head", "_item").agg(F.sum("_weight").alias("_w"))
     best = stars.groupBy("_item").agg(F.max_by("_head", F.struct("_w", -F.col("_head"))).alias("_tag")).withColumnRenamed("_item", "b").join(tags.withColumnRenamed("_item", "a"), "_tag")
     checked = lambda pairs: verified(pairs, items, docs, text, key, percent)
-    tried = cut(plausible(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), items, percent))
+    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(twins(items))
+    tried = cut(plausible(first, items, percent))
     links = checked(tried)
     comps = cut(components(links, "a", "b"))
     part = F.pmod(F.shiftright("_group", 3), F.lit(PARTS))
