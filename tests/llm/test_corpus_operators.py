@@ -241,6 +241,14 @@ def test_jaccard_ships_short_tags(spark, monkeypatch):
     assert {r.component_id for r in jaccard.join(docs_of(spark, [(1, text, None, None), (2, other, None, None)])).collect()} == {1}
 
 
+def test_signatures_are_fewer_than_shingles():
+    """Over sizes dealt evenly by octave, as a set signs the next band only if that may hold partners."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (2 ** rng.uniform(6, 11, 400)).astype(int)]
+    keys, owner = jaccard.signatures(sets)
+    assert len(keys) < 0.9 * sum(map(len, sets)) and len(np.unique(owner)) == len(sets)
+
+
 def test_jaccard_packs_many_signatures_at_once(spark, monkeypatch):
     """What a task signs goes to the shards in few rows, and nothing of it is lost where it is packed in several."""
     words = np.random.default_rng(2).integers(0, 10**6, (1200, 60))

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with PartEnum signatures; components of documents whose shingle sets are alike.
 
-Sets fall into size bands that grow by the inverse of the threshold, so a set's partners are in its band or a
-neighbour; a set signs its own band and the next one. In a band, sets that link differ in at most k elements, k being
+Sets fall into size bands that grow by the inverse of the threshold at least, so a set's partners are in its band or a
+neighbour; a set signs its own band, and the next one if that may hold partners. In a band, sets that link differ in at most k elements, k being
 a share of the band's largest size. The feature domain is partitioned by hash on two levels: into parts, and each of
 these into `SECOND` smaller ones. In a part, every subset of all but `OUT` of the smaller parts is enumerated, and what
 a set holds in that subset is a signature. Among more than k / (OUT + 1) parts, two sets that link have one in which
@@ -59,7 +59,9 @@ PER_ITEM = 16
 #: Rows of a task that compares the items of groups.
 CELL_ROWS = 2000
 #: Signatures that a task packs at once: with many shards, few would make rows that are mostly headers.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
+#: What the sizes of a band may differ by, as a factor: a wider band has fewer sets that sign twice, but less selective signatures.
+WIDTH = 1.5
 #: Distinct items that a task remembers to sign each only once.
 REMEMBERED = 500_000
 LEAST = -(2**63)
@@ -71,10 +73,11 @@ def most_different(s: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bands(largest: int, percent: int) -> np.ndarray:
-    """The largest sizes of the bands that hold sizes up to `largest`: a set's partners are in its band or a neighbour."""
+    """The largest sizes of the bands that hold sizes up to `largest`: a set's partners are in its band or a neighbour.
+    Bands are wider than that needs, so that many sets have no partners in the next one and sign only their own."""
     tops, low = [], 1
     while not tops or tops[-1] < largest:
-        tops.append(max(low, low * 100 // percent))
+        tops.append(max(low, low * 100 // percent, int(low * WIDTH)))
         low = tops[-1] + 1
     return np.array(tops, np.int64)
 
